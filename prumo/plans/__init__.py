@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("texts", "values")
+SUBJECTS = ("texts", "pages")
 
 
 def load():
