@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("texts", "pages")
+SUBJECTS = ("texts", "pages", "quotes", "searching")
 
 
 def load():
