@@ -9,14 +9,21 @@ from pyspark.sql.window import Window
 from prumo.fixed_values import CHUNK_CHARS, DONE, PAGE_TEXT_LIMIT
 from prumo.functions.display import document_label
 from prumo.functions.predicates import is_readable_type
-from prumo.functions.text import clean_text, natural_key, not_main_file
+from prumo.functions.text import SPACE, natural_key, not_main_file, strip
 from prumo.operators.grouping import BLOCK, number_rows
 
 
+def text_blocks(text: Column) -> Column:
+    """The cleaned, non-empty lines of a text. White space around a line break, empty lines
+    included, goes away with the break, so one pass over the text cleans every line."""
+    flat = F.regexp_replace(F.regexp_replace(text, "\\x00", ""), "[ \\t\\u00a0]+", " ")
+    joined = strip(F.regexp_replace(flat, f"{SPACE}*\\n{SPACE}*", "\n"))
+    return F.filter(F.split(joined, "\n"), lambda b: b != "")
+
+
 def chunk_blocks(blocks: Column, size: int = CHUNK_CHARS) -> Column:
-    """Greedy pages from an array of text blocks: a block joins the page while the page's
-    length plus its own stays within `size`; a longer block stands alone."""
-    kept = F.filter(F.transform(blocks, lambda b: clean_text(b)), lambda b: b != "")
+    """Greedy pages from an array of cleaned text blocks: a block joins the page while the
+    page's length plus its own stays within `size`; a longer block stands alone."""
     empty = F.struct(
         F.array().cast("array<string>").alias("pages"), F.lit("").alias("current")
     )
@@ -30,7 +37,7 @@ def chunk_blocks(blocks: Column, size: int = CHUNK_CHARS) -> Column:
         )
 
     return F.aggregate(
-        kept,
+        blocks,
         empty,
         step,
         lambda acc: F.when(acc["current"] == "", acc["pages"]).otherwise(
@@ -42,11 +49,10 @@ def chunk_blocks(blocks: Column, size: int = CHUNK_CHARS) -> Column:
 def paginate(df: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     """One row per page of a text column whose blocks are its lines. A fold inside the row:
     no shuffle."""
-    pages = chunk_blocks(F.split(F.col(text), "\n"), size)
-    return df.select(
-        *[c for c in df.columns if c != text], F.posexplode(pages).alias("_pos", "text")
-    ).select(
-        *[c for c in df.columns if c != text], (F.col("_pos") + 1).cast("int").alias("number"), "text"
+    pages = chunk_blocks(text_blocks(F.col(text)), size)
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.posexplode(pages).alias("_pos", "text")).select(
+        *rest, (F.col("_pos") + 1).cast("int").alias("number"), "text"
     )
 
 

@@ -129,7 +129,7 @@ def turns_before_question(t: Tables) -> DataFrame:
 
 @query(with_sql(A.DOCUMENT_PAGES) + "SELECT document_id, CAST(number AS BIGINT) AS number, text FROM doc_pages")
 def page_chunks(t: Tables) -> DataFrame:
-    return A.document_pages(t).select("document_id", F.col("number").cast("long").alias("number"), "text")
+    return A.chunked(t).select("document_id", F.col("number").cast("long").alias("number"), "text")
 
 
 @query(

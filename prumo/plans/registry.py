@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prumo.session import prepare
+from prumo.session import prepare, spread
+
+# Tables of texts, where the work per row is large.
+TEXTS = ("documents", "pages", "conversations")
 
 
 class Tables:
@@ -18,7 +21,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prumo.operators.paging import number_pages, paginate
 from prumo.plans.registry import Tables
+from prumo.session import materialize
 
 NOW = "2001-06-01 00:00:00"
 
@@ -215,6 +216,11 @@ DOCUMENT_VIEW = """document_view AS (
 
 
 def document_pages(t: Tables) -> DataFrame:
+    """Pages are stored, as the model keeps them; later steps read them more than once."""
+    return materialize(chunked(t), "pages")
+
+
+def chunked(t: Tables) -> DataFrame:
     return paginate(t.documents.select(F.col("doc_id").alias("document_id"), "text"), "text").select(
         "document_id",
         "number",
