@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("texts", "pages", "quotes", "searching")
+SUBJECTS = ("texts", "pages", "quotes", "searching", "triaging")
 
 
 def load():
