@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from prumo.fixed_values import CHUNK_CHARS, DONE, PAGE_TEXT_LIMIT
 from prumo.functions.display import document_label
 from prumo.functions.predicates import is_readable_type
-from prumo.functions.text import SPACE, natural_key, not_main_file, strip
+from prumo.functions.text import SPACE, reading_order, strip
 from prumo.operators.grouping import BLOCK, number_rows
 
 
@@ -56,29 +56,28 @@ def paginate(df: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     )
 
 
-def number_in_document(pages: DataFrame) -> DataFrame:
-    """Page number over all files of a document: main file first, then natural order.
+def number_in_document(pages: DataFrame, place: str | None = None) -> DataFrame:
+    """Page number over all files of a document: by their given place, or the main file first
+    and then natural order of names.
 
     File totals per document give the offset of each file, so only the file list of a
     document is ordered, never its pages.
     """
-    files = pages.groupBy("document_id", "source_file").agg(F.max("page_in_file").alias("_pages"))
+    file = place or "source_file"
     name = F.coalesce("source_file", F.lit(""))
-    before = (
-        Window.partitionBy("document_id")
-        .orderBy(not_main_file(name), natural_key(name), name)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = files.select(
-        "document_id",
-        F.col("source_file").alias("_file"),
-        F.coalesce(F.sum("_pages").over(before), F.lit(0)).alias("_offset"),
+    order = [F.col(place)] if place else reading_order(name)
+    before = Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        pages.groupBy("document_id", file)
+        .agg(F.max("page_in_file").alias("_pages"))
+        .select(
+            F.col("document_id").alias("_doc"),
+            F.col(file).alias("_file"),
+            F.coalesce(F.sum("_pages").over(before), F.lit(0)).alias("_offset"),
+        )
     )
     return (
-        pages.join(
-            offsets.withColumnRenamed("document_id", "_doc"),
-            (F.col("document_id") == F.col("_doc")) & F.col("source_file").eqNullSafe(F.col("_file")),
-        )
+        pages.join(offsets, (F.col("document_id") == F.col("_doc")) & F.col(file).eqNullSafe(F.col("_file")))
         .withColumn("number", (F.col("_offset") + F.col("page_in_file")).cast("int"))
         .drop("_doc", "_file", "_offset")
     )

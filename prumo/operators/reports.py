@@ -23,12 +23,11 @@ def status_report(tenders: DataFrame, documents: DataFrame, pages: DataFrame) ->
 
 def sweep_counts(received: DataFrame, merged: DataFrame) -> DataFrame:
     """Portal pages read, rows new, rows updated; a repeat within the batch counts as updated."""
-    inserted = merged.agg(F.count_if("inserted").alias("new")).withColumn("k", F.lit(1))
-    return (
-        received.agg(F.count_distinct("page").alias("pages"), F.count("*").alias("rows"))
-        .withColumn("k", F.lit(1))
-        .join(inserted, "k")
-        .select("pages", "new", (F.col("rows") - F.col("new")).alias("updated"))
+    zero = F.lit(0).cast("long")
+    read = received.agg(F.count_distinct("page").alias("pages"), F.count("*").alias("rows")).withColumn("new", zero)
+    added = merged.agg(F.count_if("inserted").alias("new")).select(zero.alias("pages"), zero.alias("rows"), "new")
+    return read.unionByName(added).agg(
+        F.sum("pages").alias("pages"), F.sum("new").alias("new"), (F.sum("rows") - F.sum("new")).alias("updated")
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("texts", "pages", "quotes", "searching", "triaging")
+SUBJECTS = ("texts", "pages", "quotes", "searching", "triaging", "listings", "merging", "pacing", "sourcing")
 
 
 def load():
