@@ -234,23 +234,29 @@ def search_pages(
     )
 
 
-def headline(
-    text: Column | str,
-    words: Column | str,
+def with_headline(
+    pages: DataFrame,
+    text: str,
+    words: str,
+    name: str = "snippet",
     language: Language = SIMPLE,
     width: int = 24,
     lead: int = 4,
     fragments: int = 2,
-) -> Column:
+) -> DataFrame:
     """Up to two windows of a page around the words of a query, the words marked «so».
 
     A window starts `lead` words before a hit; the one with most hits wins, then the best
     one that does not overlap it; windows are shown in text order. `words` are lexemes.
     """
-    shown = F.split(collapse(as_col(text)), " ")
-    cores = F.transform(shown, lambda w: F.regexp_extract(F.lower(w), TOKEN, 0))
-    if language.stems:
-        cores = stemmer(language)(cores)
+    split = pages.withColumn("_shown", F.split(collapse(text), " "))
+    cores = F.transform("_shown", lambda w: F.regexp_extract(F.lower(w), TOKEN, 0))
+    split = split.withColumn("_cores", stemmer(language)(cores) if language.stems else cores)
+    return split.withColumn(name, _headline(words, width, lead, fragments)).drop("_shown", "_cores")
+
+
+def _headline(words: str, width: int, lead: int, fragments: int) -> Column:
+    shown, cores = F.col("_shown"), F.col("_cores")
     wanted = as_col(words)
     flags = F.transform(cores, lambda c: F.coalesce(F.array_contains(wanted, c), F.lit(False)))
     hits = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())

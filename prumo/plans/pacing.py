@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from prumo.functions.values import micros
 from prumo.operators import pacing as E
+from prumo.operators.intake import replay_questions
 from prumo.plans.registry import Tables, query
 from prumo.plans.tables import with_sql
+from prumo.session import fresh_path
+from prumo.streaming.admission import admit_stream
 
 WINDOW = 6 * 3600
 
@@ -91,3 +94,41 @@ def sweep_plan(t: Tables) -> DataFrame:
     done = sweeps(t)
     plan = E.sweep_plan(done, F.to_date(F.lit(TODAY)), 60, done.select("modality_id"))
     return plan.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "modality_id", "next_page")
+
+
+def question_log(t: Tables) -> DataFrame:
+    """Events as questions: a few texts per tender, some with history, some the model fails on."""
+    return t.events.select(
+        F.col("event_id").alias("id"),
+        micros("ts").alias("at_us"),
+        F.col("user_id").alias("client"),
+        (F.col("user_id") % 10).alias("tender_id"),
+        F.concat("event_type", F.lit(" "), (F.col("event_id") % 40).cast("string")).alias("normalized"),
+        (F.col("event_type") == "purchase").alias("with_history"),
+        (F.col("value") < 3).alias("fails"),
+    )
+
+
+@query()
+def replayed_questions(t: Tables) -> DataFrame:
+    """The whole log under cache, daily cap and client window; brute force in the tests."""
+    return replay_questions(question_log(t), cap=40, most=2, window_seconds=WINDOW).select("id", "client", "outcome")
+
+
+@query(with_sql(ADMISSION) + "SELECT event_id, user_id, admitted FROM fold")
+def streamed_admission(t: Tables) -> DataFrame:
+    """The same rule as a stream that is stopped and resumed: three stretches of the month arrive
+    one after the other."""
+    source, state, sink = (fresh_path(t.spark, n) for n in ("stream-arrivals", "stream-state", "stream-admitted"))
+    rows = arrivals(t).select("user_id", "event_id", "at_us", "ts")
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    for part in range(3):
+        rows.where(third == part).drop("ts").write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(rows.drop("ts").schema).parquet(source)
+        run = (
+            admit_stream(stream, "user_id", "at_us", "event_id", 2, WINDOW)
+            .writeStream.format("parquet").option("checkpointLocation", state).option("path", sink)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    return t.spark.read.parquet(sink).select("event_id", "user_id", "admitted")

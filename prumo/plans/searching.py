@@ -178,7 +178,7 @@ def search_snippets(t: Tables) -> DataFrame:
     """Marked windows around the query's words on the pages that search returns."""
     found = page_search(t).join(A.global_pages(t).select(*PAGE_KEY, "text"), PAGE_KEY)
     asked = word_queries(t).select("query_id", "words")
-    return found.join(asked, "query_id").select("query_id", "page", S.headline("text", "words").alias("snippet"))
+    return S.with_headline(found.join(asked, "query_id"), "text", "words").select("query_id", "page", "snippet")
 
 
 @query(
