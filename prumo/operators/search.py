@@ -82,6 +82,13 @@ def postings(terms: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def index_texts(df: DataFrame, text: Column | str, keys: list[str], language: Language = SIMPLE) -> DataFrame:
+    """Postings of a text column. The texts are shuffled by their key once; their words, many
+    times as large, then stay where they are."""
+    placed = df.select(*keys, as_col(text).alias("_text")).repartition(*keys)
+    return postings(analyze(placed, "_text", keys, language), keys)
+
+
 def frequencies(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lexeme, texts): in how many texts the wanted lexemes occur."""
     return posted.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(

@@ -13,7 +13,7 @@ from prumo.functions.display import format_brl
 from prumo.functions.predicates import in_range_or_unknown, is_open, member_or_all
 from prumo.functions.text import collapse_cut, strip
 from prumo.operators.grouping import keep_last, top_per_key
-from prumo.operators.search import SIMPLE, Language, analyze, match_any, postings, weight
+from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_any, weight
 from prumo.session import materialize
 
 
@@ -39,7 +39,7 @@ def candidates(
     times all tenders; state, value and earlier judgement then thin them out before ranking.
     """
     open_ = tenders.where(is_open("closes_at", now))
-    posted = materialize(postings(analyze(open_, search_text(), ["id"], language), ["id"]), "postings")
+    posted = materialize(index_texts(open_, search_text(), ["id"], language), "postings")
     keywords = keywords_of(profiles)
     pairs = match_any(posted, keywords, ["id"], language)
 

@@ -23,7 +23,7 @@ PAGE_KEY = ["tender_id", "page"]
 
 
 def page_postings(t: Tables) -> DataFrame:
-    return S.postings(S.analyze(A.global_pages(t), "text", PAGE_KEY), PAGE_KEY)
+    return S.index_texts(A.global_pages(t), "text", PAGE_KEY)
 
 
 @query(with_sql(*A.PAGE_VIEWS, TERMS) + "SELECT tender_id, page, lexeme, CAST(pos AS BIGINT) AS pos FROM page_terms")
