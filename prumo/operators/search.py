@@ -17,6 +17,7 @@ from prumo.fixed_values import ITEM_DESCRIPTION, ITEM_LIMIT, SEARCH_LIMIT, STOPW
 from prumo.functions.stemming import stem_pt
 from prumo.functions.text import as_col, collapse, collapse_cut
 from prumo.operators.grouping import top_per_key
+from prumo.session import materialize
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Parts per billion given to the j-th occurrence of a word: 1/j², cut to whole numbers so
@@ -118,6 +119,7 @@ def match_phrase(
             lambda w: F.struct((w["pos"] - anchor["pos"]).alias("shift"), w["lexeme"].alias("lexeme")),
         ).alias("others"),
     )
+    plans = materialize(plans, "phrases")
     starts = posted.join(plans, "lexeme").select(*keys, "phrase", "others", F.explode("positions").alias("at"))
     alone = starts.where(F.size("others") == 0).select(*keys, "phrase")
     need = starts.where(F.size("others") > 0).select(

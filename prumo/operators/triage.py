@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from prumo.fixed_values import BATCH_SIZE, CANDIDATE_LIMIT, MAX_OBJECT, RELEVANT_SCORE
 from prumo.functions.display import format_brl
-from prumo.functions.predicates import in_range_or_unknown, is_open, member_or_all
+from prumo.functions.predicates import in_range_or_unknown, is_open
 from prumo.functions.text import collapse_cut, strip
 from prumo.operators.grouping import keep_last, top_per_key
-from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_any, weight
+from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_phrase, weight
 from prumo.session import materialize
 
 
@@ -40,30 +40,37 @@ def candidates(
     """
     open_ = tenders.where(is_open("closes_at", now))
     posted = materialize(index_texts(open_, search_text(), ["id"], language), "postings")
-    keywords = keywords_of(profiles)
-    pairs = match_any(posted, keywords, ["id"], language)
-
-    asked = profiles.select(F.col("id").alias("profile_id"), "states", "min_value", "max_value")
-    fitting = (
-        pairs.join(open_.select("id", "state", "estimated_value", "closes_at"), "id")
-        .join(asked, "profile_id")
-        .where(
-            member_or_all("state", "states") & in_range_or_unknown("estimated_value", "min_value", "max_value")
-        )
-        .join(
-            triage.select("profile_id", F.col("tender_id").alias("id")), ["profile_id", "id"], "left_anti"
-        )
-        .select("profile_id", "id", "closes_at")
+    keywords = keywords_of(profiles).where(F.trim("phrase") != "").distinct()
+    # A tender carries the weights of its own words, a profile its words: no further join ranks them.
+    weights = posted.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("lexeme", weight("tf").alias("w")))).alias("weights")
+    )
+    listed = open_.select("id", "state", "estimated_value", "closes_at").join(weights, "id")
+    words = (
+        analyze(keywords, "phrase", ["profile_id"], language)
+        .groupBy("profile_id")
+        .agg(F.collect_set("lexeme").alias("words"))
     )
-    words = analyze(keywords.where(F.trim("phrase") != ""), "phrase", ["profile_id"], language).select(
-        "profile_id", "lexeme"
-    ).distinct()
+    asks = (
+        profiles.select(F.col("id").alias("profile_id"), "states", "min_value", "max_value")
+        .join(words, "profile_id")
+        .join(keywords, "profile_id")
+    )
+    hits = match_phrase(posted, keywords, ["id"], language).join(listed, "id")
+    # Profiles with states meet only the tenders of those states; the others meet all.
+    local = asks.select("*", F.explode("states").alias("state")).drop("states")
+    anywhere = asks.where(F.size("states") == 0).drop("states")
+    met = hits.join(local, ["phrase", "state"]).unionByName(hits.join(anywhere, "phrase"))
     # Sums of word weights; dividing by the profile's word count would not change the order.
+    nothing = F.lit(0).cast("long")
+    score = F.aggregate("words", nothing, lambda total, x: total + F.coalesce(F.col("weights")[x], nothing))
     scores = (
-        fitting.join(words, "profile_id")
-        .join(posted.select("id", "lexeme", "tf"), ["id", "lexeme"])
-        .groupBy("profile_id", "id")
-        .agg(F.sum(weight("tf")).alias("rank"), F.first("closes_at").alias("closes_at"))
+        met.where(in_range_or_unknown("estimated_value", "min_value", "max_value"))
+        .select("profile_id", "id", "closes_at", score.alias("rank"))
+        .distinct()
+        .join(
+            triage.select("profile_id", F.col("tender_id").alias("id")), ["profile_id", "id"], "left_anti"
+        )
     )
     return top_per_key(
         scores,
