@@ -33,36 +33,41 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str = "n"
+def running_total(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
-    """`row_number` over `keys`, exact, without one task per key.
+    """Sum of `value` over the rows before each row of its key, exact, without one task per key.
 
-    `block` must never decrease along `order` within a key. Rows are numbered inside
-    (key, block); how many rows precede a block comes from the block counts.
+    `block` must never decrease along `order` within a key. Rows are added up inside
+    (key, block); what lies before a block comes from the block totals.
     """
-    df = df.withColumn("_block", block)
+    df = df.withColumns({"_block": block, "_value": value})
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    totals = (
         df.groupBy(*keys, "_block")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_offset")
+        .agg(F.sum("_value").alias("_sum"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.col("_block").alias("_b"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        )
     )
     same = F.col("_block").eqNullSafe(F.col("_b"))
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(offsets, same)
-        .withColumn(name, (F.row_number().over(inside) + F.col("_offset")).cast("long"))
-        .drop("_block", "_b", "_offset", *[f"_k{i}" for i in range(len(keys))])
+        df.join(totals, same)
+        .withColumn(name, (F.sum("_value").over(inside) - F.col("_value") + F.col("_offset")).cast("long"))
+        .drop("_block", "_value", "_b", "_offset", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
-def count_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows per key next to every row: counts are aggregated before they are joined back."""
-    return df.join(df.groupBy(*keys).agg(F.count("*").alias(name)), list(keys))
+def number_rows(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str = "n"
+) -> DataFrame:
+    """`row_number` over `keys`, as a running total of ones."""
+    return running_total(df, keys, block, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def with_block_context(df: DataFrame, number: str, back: int, block: int = BLOCK) -> DataFrame:

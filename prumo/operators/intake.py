@@ -35,10 +35,11 @@ def replay_questions(
     What a day stores is at most its cap, so only the beginning of a day has to be taken in
     order, until the cap is reached; everything else follows from what was stored by joins. Days
     are taken side by side. What they hand on (stored answers, slots still held at midnight) is
-    settled by repeating the days whose hand-over changed.
+    settled by repeating until nothing changes, which is the sequential result. A day that has
+    not reached its cap after `prefix` questions the log could not answer is given more.
     """
     window_us = window_seconds * SECOND
-    log = requests.withColumn("day", F.floor(F.col("at_us") / DAY_US)).withColumn("key", F.xxhash64("tender_id", "normalized"))
+    log = requests.withColumn("day", F.floor(F.col("at_us") / DAY_US))
     log = materialize(log, "question-log")
     spark = requests.sparkSession
     taken_schema = T.StructType(
@@ -73,11 +74,12 @@ def replay_questions(
     taken = spark.createDataFrame([], taken_schema)
     size, signature = prefix, None
     while True:
-        kept = taken.where((F.col("outcome") == ANSWERED) & ~F.col("with_history"))
-        earlier = kept.select("tender_id", "normalized", "day").groupBy("tender_id", "normalized").agg(F.min("day").alias("since"))
+        stored = taken.where((F.col("outcome") == ANSWERED) & ~F.col("with_history"))
+        first = stored.groupBy("tender_id", "normalized").agg(F.min(F.struct("at_us", "id")).alias("first"))
+        # What the log already answers changes nothing else: it is left out of the ordered part.
         unknown = (
-            log.join(earlier, ["tender_id", "normalized"], "left")
-            .where(F.col("with_history") | F.col("since").isNull() | (F.col("since") >= F.col("day")))
+            log.join(first, ["tender_id", "normalized"], "left")
+            .where(F.col("with_history") | F.coalesce(F.col("first") >= F.struct("at_us", "id"), F.lit(True)))
             .withColumn("carried", F.lit(False))
         )
         start = top_per_key(unknown, ["day"], [F.col("at_us").asc(), F.col("id").asc()], size, "_place")
@@ -105,8 +107,6 @@ def replay_questions(
             size *= 4
         signature = now
 
-    stored = taken.where((F.col("outcome") == ANSWERED) & ~F.col("with_history"))
-    first = stored.groupBy("tender_id", "normalized").agg(F.min(F.struct("at_us", "id")).alias("first"))
     full = taken.where("reached").groupBy("day").agg(F.min(F.struct("at_us", "id")).alias("full"))
     here = F.struct("at_us", "id")
     return (

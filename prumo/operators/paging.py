@@ -10,7 +10,7 @@ from prumo.fixed_values import CHUNK_CHARS, DONE, PAGE_TEXT_LIMIT
 from prumo.functions.display import document_label
 from prumo.functions.predicates import is_readable_type
 from prumo.functions.text import SPACE, reading_order, strip
-from prumo.operators.grouping import BLOCK, number_rows
+from prumo.operators.grouping import BLOCK, running_total
 
 
 def text_blocks(text: Column) -> Column:
@@ -90,20 +90,24 @@ def readable_documents(documents: DataFrame) -> DataFrame:
 def number_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Global page number per tender over its readable documents: type, sequence, page.
 
-    The block is the position of a run of pages in that same order, so a tender with a
-    third of all pages is numbered by many tasks.
+    Pages of a document are numbered from 1 without gaps, so a page only needs to know how many
+    pages the documents before its own have. Page texts are neither sorted nor shuffled for it,
+    and the documents of a large tender are added up in blocks.
     """
+    counts = pages.groupBy("document_id").agg(F.count("*").alias("_pages"))
     docs = readable_documents(documents).select(
         "tender_id", "document_id", "type_id", "seq", document_label("type", "title").alias("document")
     )
-    joined = pages.join(docs, "document_id")
-    return number_rows(
-        joined,
+    order = [F.col("type_id"), F.col("seq"), F.col("document_id")]
+    placed = running_total(
+        docs.join(counts, "document_id"),
         ["tender_id"],
-        F.struct("type_id", "seq", "document_id", F.floor(F.col("number") / BLOCK).alias("run")),
-        [F.col("type_id"), F.col("seq"), F.col("document_id"), F.col("number")],
-        "page",
-    )
+        F.struct("type_id", F.floor(F.col("seq") / BLOCK).alias("run")),
+        order,
+        F.col("_pages"),
+        "_before",
+    ).drop("_pages")
+    return pages.join(placed, "document_id").withColumn("page", F.col("_before") + F.col("number")).drop("_before")
 
 
 def lookup_pages(refs: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
