@@ -131,9 +131,9 @@ def pace(events: DataFrame, key: str, at_us: str, tie: str, interval_us: int) ->
 
     Closed form: i·interval + the running maximum of arrival_j − j·interval.
     """
-    numbered = number_rows(
-        events, [key], F.floor(F.col(at_us) / MINUTE_US), [F.col(at_us).asc(), F.col(tie).asc()], "_n"
-    )
+    order = [F.col(at_us).asc(), F.col(tie).asc()]
+    numbered = number_rows(events, [key], F.floor(F.col(at_us) / MINUTE_US), order, "_n")
+    numbered = materialize(numbered, "arrivals")
     slack = F.col(at_us) - F.col("_n") * F.lit(interval_us).cast("long")
     return (
         running_max(numbered, [key], "_n", slack, "_slack", BLOCK)
