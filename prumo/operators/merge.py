@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prumo.fixed_values import FAILED, MAX_ERROR, PENDING, UNSUPPORTED
+from prumo.fixed_values import DONE, FAILED, MAX_ERROR, PENDING, UNSUPPORTED
 from prumo.operators.grouping import keep_last
 
 TENDER_IDENTITY = ("id", "cnpj", "year", "seq")
@@ -119,6 +119,31 @@ def record_outcomes(queue: DataFrame, outcomes: DataFrame, key: str, state: str,
     )
 
 
+def record_reads(documents: DataFrame, reads: DataFrame, now: Column) -> DataFrame:
+    """Documents after a reading round. `reads(document_id, file_name, format, size_bytes, sha256,
+    outcome, message, total_pages)`; a read that failed before any byte came has no file facts.
+
+    Every read costs an attempt; facts of the file replace the old ones when there are any; page
+    count and time change only when text was read.
+    """
+    facts = ("file_name", "format", "size_bytes", "sha256")
+    new = reads.select(
+        "document_id", (F.col("outcome") == DONE).alias("_done"), F.col("total_pages").alias("_pages"),
+        *[F.col(c).alias(f"_{c}") for c in facts],
+    )
+    done = F.coalesce("_done", F.lit(False))
+    told = documents.join(new, "document_id", "left").withColumns(
+        {c: F.when(F.col("_sha256").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in facts}
+        | {
+            "total_pages": F.when(done, F.col("_pages")).otherwise(F.col("total_pages")),
+            "downloaded_at": F.when(done, now).otherwise(F.col("downloaded_at")),
+        }
+    )
+    return record_outcomes(
+        told.select(*documents.columns), reads, "document_id", "status", "attempts", "error", every_read_counts=True
+    )
+
+
 def cascade_delete(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     return children.join(parents.select(*keys), keys, "left_semi")
 

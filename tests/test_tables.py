@@ -50,6 +50,24 @@ def test_outcomes_and_cascades(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 0}
 
 
+def test_reading_round(spark):
+    from prumo.schemas import DOCUMENTS
+
+    blank = dict.fromkeys(DOCUMENTS.fieldNames())
+    row = lambda i, **kw: tuple({**blank, "document_id": i, "status": "pendente", "attempts": 0, **kw}.values())
+    docs = spark.createDataFrame([row(1), row(2, sha256="old", total_pages=7), row(3, sha256="old", attempts=2), row(4, status="ok")], DOCUMENTS)
+    reads = spark.createDataFrame(
+        [(1, "a.pdf", "pdf", 10, "s1", "ok", None, 3), (2, "b", "doc", 5, "s2", "nao_suportado", "formato doc", None),
+         (3, None, None, None, None, "falhou", "503", None)],
+        "document_id long, file_name string, format string, size_bytes long, sha256 string, outcome string, message string, total_pages int")
+    now = F.lit("2026-10-05 12:00:00").cast("timestamp")
+    got = {r.document_id: r for r in M.record_reads(docs, reads, now).collect()}
+    assert (got[1].status, got[1].attempts, got[1].sha256, got[1].total_pages) == ("ok", 1, "s1", 3) and got[1].downloaded_at is not None
+    assert (got[2].status, got[2].format, got[2].error, got[2].total_pages, got[2].downloaded_at) == ("nao_suportado", "doc", "formato doc", 7, None)
+    assert (got[3].status, got[3].attempts, got[3].sha256, got[3].error) == ("falhou", 3, "old", "503")
+    assert (got[4].status, got[4].attempts) == ("ok", 0)
+
+
 def test_analyses_need_readable_pages(spark):
     old = spark.createDataFrame([(1, "A", "x"), (1, "B", "x")], "profile_id int, tender_id string, recommendation string")
     fresh = spark.createDataFrame([(1, "A", "y"), (1, "B", "y"), (2, "A", "y")], old.schema)
