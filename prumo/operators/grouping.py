@@ -39,7 +39,8 @@ def running_total(
     """Sum of `value` over the rows before each row of its key, exact, without one task per key.
 
     `block` must never decrease along `order` within a key. Rows are added up inside
-    (key, block); what lies before a block comes from the block totals.
+    (key, block); what lies before a block comes from the block totals. `df` is read twice:
+    store it first if it is costly.
     """
     df = df.withColumns({"_block": block, "_value": value})
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

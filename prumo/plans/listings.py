@@ -30,7 +30,7 @@ def triage_board(t: Tables) -> DataFrame:
     """The board of every profile with each tender's place on it."""
     from prumo.operators.grouping import number_rows
 
-    board = B.triage_board(A.triage(t), A.analyses(t), A.tenders(t))
+    board = t.store("board", lambda: B.triage_board(A.triage(t), A.analyses(t), A.tenders(t)))
     block = F.struct(F.col("recommendation").isNull().alias("a"), (-F.col("score")).alias("b"))
     none = F.lit(-1).cast("long")
     return number_rows(board, ["profile_id"], block, B.board_order(), "place").select(

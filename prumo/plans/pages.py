@@ -219,7 +219,7 @@ def batches_by_rank(t: Tables) -> DataFrame:
     from prumo.operators.triage import batch_by_rank
 
     ranked = G.number_rows(
-        A.triage(t), ["profile_id"], -F.col("score"), [F.col("score").desc(), F.col("tender_id").asc()], "place"
+        t.store("triage", lambda: A.triage(t)), ["profile_id"], -F.col("score"), [F.col("score").desc(), F.col("tender_id").asc()], "place"
     )
     return batch_by_rank(ranked).select(
         "profile_id", "tender_id", F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prumo.session import prepare, spread
+from prumo.session import materialize, prepare, spread
 
 # Tables of texts, where the work per row is large.
 TEXTS = ("documents", "pages", "conversations")
@@ -17,6 +17,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = prepare(spark), folder.rstrip("/")
+        self.stored: dict[str, DataFrame] = {}
+
+    def store(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table written once per query, however often the query reads it."""
+        if name not in self.stored:
+            self.stored[name] = materialize(make(), name)
+        return self.stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

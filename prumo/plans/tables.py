@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from prumo.operators.paging import number_pages, paginate
 from prumo.plans.registry import Tables
-from prumo.session import materialize
 
 NOW = "2001-06-01 00:00:00"
 
@@ -217,7 +216,7 @@ DOCUMENT_VIEW = """document_view AS (
 
 def document_pages(t: Tables) -> DataFrame:
     """Pages are stored, as the model keeps them; later steps read them more than once."""
-    return materialize(chunked(t), "pages")
+    return t.store("pages", lambda: chunked(t))
 
 
 def chunked(t: Tables) -> DataFrame:
