@@ -11,15 +11,16 @@ from pyspark.sql import types as T
 
 from prumo.fixed_values import MIN_FRAGMENT
 
-# What counts as white space and as a word character for Unicode text.
+# White space and word characters of Unicode text, marks around a quotation,
+# signs that skip text.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 EDGE_MARKS = " .;,:\"'"
 ELLIPSES = r"\.{3,}|…|\[\s*\.{0,3}\s*\]"
-# Curly quotes and dashes to their plain forms; ordinal marks to letters.
+# Curly quotes and dashes to their plain forms; ordinal marks to letters.
 PLAIN_FROM, PLAIN_TO = "“”‘’–—ºª", "\"\"''--oa"
 
-# File signatures.
+# File signatures.
 SIGNATURES = {
     "pdf": b"%PDF",
     "zip": b"PK\x03\x04",

@@ -72,7 +72,7 @@ def replay_questions(
         return pd.DataFrame(out, columns=names)
 
     taken = spark.createDataFrame([], taken_schema)
-    size, signature = prefix, None
+    size, before = prefix, None
     while True:
         stored = taken.where((F.col("outcome") == ANSWERED) & ~F.col("with_history"))
         first = stored.groupBy("tender_id", "normalized").agg(F.min(F.struct("at_us", "id")).alias("first"))
@@ -100,12 +100,12 @@ def replay_questions(
             unknown.groupBy("day").agg(F.count("*").alias("n")).where(F.col("n") > size)
             .join(taken.where("reached").select("day"), "day", "left_anti")
         )
-        now = taken.agg(F.count("*"), F.sum(F.hash("id", "outcome").cast("long")), F.max("day")).first()
-        if now == signature and longer.isEmpty():
+        settled = before is not None and _same(before, taken)
+        if settled and longer.isEmpty():
             break
-        if now == signature:
+        if settled:
             size *= 4
-        signature = now
+        before = taken
 
     full = taken.where("reached").groupBy("day").agg(F.min(F.struct("at_us", "id")).alias("full"))
     here = F.struct("at_us", "id")
@@ -122,3 +122,9 @@ def replay_questions(
         )
         .select(*requests.columns, "outcome")
     )
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two outcomes list the same questions with the same outcome."""
+    keys = ["id", "outcome"]
+    return a.join(b.select(keys), keys, "left_anti").isEmpty() and b.join(a.select(keys), keys, "left_anti").isEmpty()
