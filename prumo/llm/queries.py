@@ -79,3 +79,22 @@ def op8_mixed_sources(table) -> DataFrame:
 
     docs = table("documents").select("doc_id", "text", "source")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query()
+def op1_byte_bpe(table) -> DataFrame:
+    """Ids of every text by the 50k byte-level vocabulary, and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    from prumo.llm.bpe import ByteBPE
+    from prumo.llm.common import small_batches
+
+    docs = small_batches(table("documents").select("doc_id", "text"))
+    bpe = ByteBPE(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return encoded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("bytes")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
