@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from prumo.llm.common import once_per_worker
+
 NONE = np.int32(2**30)  # rank of a pair that is not in the vocabulary
 WIDEST = 64  # bytes of the longest piece merged in a matrix
 ROWS = 16_384  # pieces per matrix
@@ -201,18 +204,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
-
-
-def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    key = (hash(shared.value), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value, pattern)
-    return _encoders[key]
-
-
 class ByteBPE:
     """Column functions that encode and decode by the rank file at `path` (base64 token and rank per line).
 
@@ -223,16 +214,16 @@ class ByteBPE:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         with open(path, "rb") as file:
             self.shared = spark.sparkContext.broadcast(file.read())
-        self.pattern = pattern
+        self.pattern, self.tag = pattern, uuid4().hex
 
     def encode(self, text: Column) -> Column:
         """array<int> of ids. A null or empty text gives an empty array; equal texts give equal ids; a text
         without a match of the pattern gives none. A text is held whole by one task, whatever its length."""
-        shared, pattern = self.shared, self.pattern
+        shared, pattern, tag = self.shared, self.pattern, self.tag
 
         @F.arrow_udf("array<int>")
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _encoder(shared, pattern)
+            encoder = once_per_worker(tag, lambda: Encoder(shared.value, pattern))
             for texts in batches:
                 yield encoder.encode(texts.to_pylist())
 
@@ -240,11 +231,12 @@ class ByteBPE:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids. Null or empty ids give no bytes; an id outside the vocabulary is an error."""
-        shared, pattern = self.shared, self.pattern
+        shared, pattern, tag = self.shared, self.pattern, self.tag
 
         @F.arrow_udf("binary")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            token = _encoder(shared, pattern).vocabulary.tokens.__getitem__
+            encoder = once_per_worker(tag, lambda: Encoder(shared.value, pattern))
+            token = encoder.vocabulary.tokens.__getitem__
             for lists in batches:
                 ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
                 yield pa.array([b"".join(map(token, ids[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())

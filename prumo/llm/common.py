@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,58 @@ def numbered_ranges(df: DataFrame, order: Sequence[str], totals: Iterable[str] =
         name = "place" if k == "place" else f"{k}_before"
         out = out.withColumn(name, F.col(f"_from_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
     return out.drop("_range", *[f"_from_{k}" for k in sums])
+
+
+def sampled(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """About `most` rows of each value of column `by` at the most, chosen by a hash of column `key`: the bounded
+    sample a classifier is fitted on. Adds `_share`, the part of the value's rows that was kept."""
+    counts = df.groupBy(by).agg(F.count("*").alias("_rows"))
+    shares = counts.select(by, F.least(F.lit(1.0), F.lit(float(most)) / F.col("_rows")).alias("_share"))
+    at = F.pmod(F.xxhash64(named(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.join(shares, by).filter(at < F.col("_share"))
+
+
+class Remembered:
+    """What a Python worker has worked out per word: rows of a matrix, numbered by word.
+
+    `work` turns a list of new words into such rows. The memory is emptied when it holds over `most` words.
+    """
+
+    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 300_000):
+        self.work, self.most = work, most
+        self.known: dict[str, int] = {}
+        self.rows: np.ndarray | None = None
+
+    def numbers(self, words: list[list[str]]) -> np.ndarray:
+        """The row numbers of all words, one list after the other."""
+        if len(self.known) > self.most:
+            self.known, self.rows = {}, None
+        new = [w for w in set(chain.from_iterable(words)) if w not in self.known]
+        if new or self.rows is None:
+            rows = self.work(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
+        count = sum(map(len, words))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, count)
+
+
+def sums_per_list(values: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """Sums of consecutive runs of rows; an empty run sums to zero."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    out = np.zeros((len(sizes), *values.shape[1:]), dtype=np.float64)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        out[filled] = np.add.reduceat(values, starts, axis=0, dtype=np.float64)
+    return out
+
+
+_made: dict[str, object] = {}
+
+
+def once_per_worker(tag: str, make: Callable[[], object]):
+    """What `make` builds, kept in this Python worker until another tag is asked for."""
+    if tag not in _made:
+        _made.clear()
+        _made[tag] = make()
+    return _made[tag]

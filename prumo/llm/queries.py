@@ -98,3 +98,21 @@ def op1_byte_bpe(table) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n: what the held-out parts are cut by."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query()
+def op6_word_first_language(table) -> DataFrame:
+    """Language of every text, learnt from the documents that are not held out."""
+    from prumo.llm.common import small_batches
+    from prumo.llm.langid import learn, predict
+
+    docs = small_batches(table("documents").select("doc_id", "text", "lang"))
+    model = learn(docs.filter(remainder(5) != 0))
+    held = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
+    judged = docs.select("doc_id", held, predict(docs.sparkSession, model, F.col("text")).alias("p"))
+    return judged.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
