@@ -13,8 +13,8 @@ from prumo.session import materialize
 
 # Bounds what one Arrow batch of texts brings to a Python worker; a longer text travels alone.
 BATCHES = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "400",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -74,13 +74,13 @@ class Remembered:
     `work` turns a list of new words into such rows. The memory is emptied when it holds over `most` words.
     """
 
-    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 300_000):
+    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 200_000):
         self.work, self.most = work, most
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
-    def numbers(self, words: list[list[str]]) -> np.ndarray:
-        """The row numbers of all words, one list after the other."""
+    def of(self, words: list[list[str]]) -> np.ndarray:
+        """The rows of all words, one list after the other."""
         if len(self.known) > self.most:
             self.known, self.rows = {}, None
         new = [w for w in set(chain.from_iterable(words)) if w not in self.known]
@@ -89,7 +89,7 @@ class Remembered:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
         count = sum(map(len, words))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, count)
+        return self.rows[np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, count)]
 
 
 def sums_per_list(values: np.ndarray, sizes: Sequence[int]) -> np.ndarray:

@@ -126,13 +126,12 @@ class Judge:
         return out
 
     def say_all(self, chunks: list[str]) -> np.ndarray:
-        return np.array([self.say(c) for c in chunks], dtype=np.float32).reshape(len(chunks), -1)
+        return np.array([self.say(c) for c in chunks], dtype=np.float32).reshape(-1, len(self.model.languages) + 1)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         chunks = [text.split() if text else [] for text in texts]
-        numbers = self.words.numbers(chunks)
         width = len(self.model.languages) + 1
-        said = sums_per_list(self.words.rows[numbers].reshape(-1, width), list(map(len, chunks)))
+        said = sums_per_list(self.words.of(chunks), list(map(len, chunks)))
         count, score = said[:, -1], np.zeros(len(texts))
         names = [UNKNOWN] * len(texts)
         if width > 1:
