@@ -116,3 +116,17 @@ def op6_word_first_language(table) -> DataFrame:
     held = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
     judged = docs.select("doc_id", held, predict(docs.sparkSession, model, F.col("text")).alias("p"))
     return judged.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query()
+def op9_lexicon_toxicity(table) -> DataFrame:
+    """Toxicity of every text, learnt from the labels that are not held out."""
+    from prumo.llm.common import small_batches
+    from prumo.llm.toxicity import learn, score
+
+    docs = small_batches(table("documents").select("doc_id", "text"))
+    taught = table("labels").select("doc_id", "toxic").filter(remainder(4) != 2)
+    model = learn(docs, taught)
+    held = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    scored = docs.select("doc_id", held, score(docs.sparkSession, model, F.col("text")).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
