@@ -130,3 +130,14 @@ def op9_lexicon_toxicity(table) -> DataFrame:
     held = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held, score(docs.sparkSession, model, F.col("text")).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op10_ngram_jaccard(table) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    from fractions import Fraction
+
+    from prumo.llm.jaccard import near_duplicates
+
+    found = near_duplicates(table("documents").select("doc_id", "text"), words=3, similarity=Fraction(9, 10))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
