@@ -141,3 +141,45 @@ def op10_ngram_jaccard(table) -> DataFrame:
 
     found = near_duplicates(table("documents").select("doc_id", "text"), words=3, similarity=Fraction(9, 10))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query(
+    """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+)
+def op2_mtree_top_k(table) -> DataFrame:
+    """The 20 rows of largest whole-number inner product for every 20th embedding."""
+    from prumo.llm.mtree import top_k
+
+    return top_k(table("embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    """
+WITH given AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_prepend(0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
+  FROM given q JOIN given c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+)
+def op7_int8_block_join(table) -> DataFrame:
+    """The 20 rows of largest inner product for every 20th embedding."""
+    from prumo.llm.blockjoin import nearest
+
+    return nearest(table("embeddings"), F.col("vec_id") % 20 == 0)
