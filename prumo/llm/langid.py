@@ -108,25 +108,37 @@ class Judge:
         self.model = model
         self.words = Remembered(self.say_all)
 
-    def say(self, chunk: str) -> np.ndarray:
-        """What the words of one chunk between white space say for each language, and how many they are."""
-        model, out = self.model, np.zeros(len(self.model.languages) + 1, dtype=np.float32)
-        for word in LETTERS.findall(chunk.lower()):
-            out[-1] += 1
-            known = [model.rows[word]] if word in model.rows else []
-            marked, size = f"^{word}$", LONGEST
-            while not known and size:
-                grams = (f"{size}{marked[i : i + size]}" for i in range(len(marked) - size + 1))
-                known = [model.rows[g] for g in grams if g in model.rows]
-                size -= 1
-            if known and len(model.languages):
-                seen = model.table[known].mean(axis=0)
-                seen = seen - np.log(np.exp(seen - seen.max()).sum()) - seen.max()
-                out[:-1] += np.maximum(seen, LEAST)
-        return out
+    def grams(self, word: str) -> list[int]:
+        """The lines of the model that speak for a word: its own, or those of its longest known n-grams."""
+        rows = self.model.rows
+        if word in rows:
+            return [rows[word]]
+        marked = f"^{word}$"
+        for size in range(LONGEST, 0, -1):
+            found = [rows[g] for i in range(len(marked) - size + 1) if (g := f"{size}{marked[i : i + size]}") in rows]
+            if found:
+                return found
+        return []
 
     def say_all(self, chunks: list[str]) -> np.ndarray:
-        return np.array([self.say(c) for c in chunks], dtype=np.float32).reshape(-1, len(self.model.languages) + 1)
+        """What the words of each chunk between white space say for each language, and how many they are."""
+        lines, per_word, per_chunk = [], [], []
+        for chunk in chunks:
+            words = [chunk.lower()] if chunk.isalpha() else LETTERS.findall(chunk.lower())
+            per_chunk.append(len(words))
+            for word in words:
+                found = self.grams(word)
+                per_word.append(len(found))
+                lines.extend(found)
+        width = len(self.model.languages)
+        seen = sums_per_list(self.model.table[np.array(lines, dtype=np.int64)].reshape(-1, width), per_word)
+        seen /= np.maximum(per_word, 1)[:, None]
+        if width:
+            seen -= seen.max(axis=1, keepdims=True, initial=-1e9)
+            seen -= np.log(np.exp(seen).sum(axis=1, keepdims=True))
+        said = np.where(np.array(per_word)[:, None] > 0, np.maximum(seen, LEAST), 0.0)
+        out = sums_per_list(said.reshape(-1, width), per_chunk)
+        return np.c_[out, per_chunk].astype(np.float32)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         chunks = [text.split() if text else [] for text in texts]
