@@ -183,3 +183,35 @@ def op7_int8_block_join(table) -> DataFrame:
     from prumo.llm.blockjoin import nearest
 
     return nearest(table("embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op3_longest_match_counts(table) -> DataFrame:
+    """Words and greedy longest-match tokens of every text by the 32k vocabulary."""
+    import public_tokenizers
+
+    from prumo.llm.common import small_batches
+    from prumo.llm.wordpiece import pieces_of, token_counts
+
+    docs = small_batches(table("documents").select("doc_id", "text"))
+    pieces = pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    counted = docs.select("doc_id", token_counts(docs.sparkSession, pieces, F.col("text")).alias("c"))
+    return counted.select("doc_id", "c.n_words", "c.n_tokens")
+
+
+@query()
+def op4_site_quality(table) -> DataFrame:
+    """Quality of every document by its text and by its source and language within the source."""
+    from prumo.llm.quality import judge
+
+    docs = table("documents").select("doc_id", "text", "source", "lang")
+    judged = judge(docs, table("labels").select("doc_id", "quality").filter(remainder(4) != 2))
+    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
+    return judged.select(
+        F.col("id").alias("doc_id"),
+        held.alias("held_out"),
+        "host_rate",
+        "path_rate",
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
