@@ -143,11 +143,9 @@ def mixed_documents(mixed: DataFrame, text_col: str = "text", length_col: str =
         ),
     )
     text = F.col("row")[text_col]
-    first = F.regexp_extract(
-        text,
-        F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("words"), F.lit("}")),
-        0,
-    )
+    # Words with the white space before them, so that what is kept stands as it was.
+    steps = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0)
+    first = F.array_join(F.slice(steps, F.lit(1), F.col("words").cast("int")), "")
     rows = rows.withColumn("kept", F.when(F.col("words") < F.col("size"), first).otherwise(text))
     out = []
     for name in fields:
