@@ -131,13 +131,13 @@ class Judge:
                 per_word.append(len(found))
                 lines.extend(found)
         width = len(self.model.languages)
-        seen = sums_per_list(self.model.table[np.array(lines, dtype=np.int64)].reshape(-1, width), per_word)
-        seen /= np.maximum(per_word, 1)[:, None]
+        seen = sums_per_list(self.model.table[np.array(lines, dtype=np.int64)], per_word)
+        seen /= np.maximum(np.array(per_word, dtype=np.int64), 1)[:, None]
         if width:
             seen -= seen.max(axis=1, keepdims=True, initial=-1e9)
             seen -= np.log(np.exp(seen).sum(axis=1, keepdims=True))
-        said = np.where(np.array(per_word)[:, None] > 0, np.maximum(seen, LEAST), 0.0)
-        out = sums_per_list(said.reshape(-1, width), per_chunk)
+        said = np.where(np.array(per_word, dtype=np.int64)[:, None] > 0, np.maximum(seen, LEAST), 0.0)
+        out = sums_per_list(said, per_chunk)
         return np.c_[out, per_chunk].astype(np.float32)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
