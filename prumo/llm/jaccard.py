@@ -245,6 +245,7 @@ def near_duplicates(
         .agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "rare", "first")])
     )
     nodes = materialize(nodes, "nodes")
+    names = nodes.select("one", "two", "node")
     up, down = similarity.numerator, similarity.denominator
     short = F.col("n") - _ceil(up * F.col("n") / F.lit(down)) + 1
     looked = nodes.select("node", "n", "rare", F.posexplode(F.slice("first", F.lit(1), short.cast("int"))).alias("at", "gram"))
@@ -296,14 +297,10 @@ def near_duplicates(
     pairs = materialize(pairs, "cross-pairs")
     more = _links(pairs, nodes, texts, words, similarity)
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-    # Rows with one id and different texts are nodes of one id, so they meet here by themselves.
-    groups = components(stars.unionByName(more))
-    named_sets = (
-        signed.filter("n > 0 AND id IS NOT NULL")
-        .groupBy("one", "two")
-        .agg(F.min("id").alias("node"))
-        .join(groups, "node", "left")
-        .select("one", "two", F.coalesce("component", "node").alias("component"))
-    )
+    members = signed.filter("n > 0 AND id IS NOT NULL").select("id", "one", "two").join(names, ["one", "two"])
+    several = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("id", "a")
+    one_id = members.join(several, "id").select("a", F.col("node").alias("b")).filter("a <> b")
+    groups = components(stars.unionByName(more).unionByName(one_id))
+    named_sets = names.join(groups, "node", "left").select("one", "two", F.coalesce("component", "node").alias("component"))
     out = signed.join(named_sets, ["one", "two"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
