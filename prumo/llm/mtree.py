@@ -40,6 +40,7 @@ from prumo.llm.vectors import (
 from prumo.session import materialize
 
 PAGE = 256  # entries of a page
+GROUP = 128  # queries that go through a tree together
 FOUND = "query_row long, query_id long, vec_id long, row long, score long"
 
 
@@ -105,48 +106,64 @@ def build(points: np.ndarray) -> Tree:
     return Tree(starts, np.array(point, np.int64), np.array(radius), np.array(to_parent), np.array(leads, np.int64))
 
 
-def search(tree: Tree, points: np.ndarray, query: np.ndarray, k: int, own: np.ndarray, floor: float) -> np.ndarray:
-    """Numbers of the rows that may be among the k of largest inner product with the query, itself (`own`) aside.
+def search(
+    tree: Tree, entries: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row number) of what may be among the k of largest inner product with each query, its row `own` aside.
 
-    floor: an inner product below which nothing is wanted.
+    A group of queries goes through the tree together, pages by the least bound that any of them has; a query
+    looks into a page only while its own bound allows. entries: the routing rows and rows of all pages in page order, so that a
+    page is one stretch of memory. floor: inner products below which nothing is wanted.
     """
-    asked = np.append(query, 0.0)
-    base = float(query @ query) + float(points[0] @ points[0])  # |q|² and the common length of all rows
+    width = queries.shape[1]  # the added component of a query is 0
+    base = (queries * queries).sum(axis=1) + float(entries[0] @ entries[0])  # |q|² and the common length of all rows
     slack = 1e-9 * (base + 1.0)
-    furthest = base - 2 * floor if np.isfinite(floor) else np.inf  # squared
-    worst: list[float] = []  # the k least squared distances, negated, largest on top
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = [(0.0, 0, None)]
+    edge = np.sqrt(slack)
+    furthest = np.where(np.isfinite(floor), base - 2 * floor, np.inf)  # squared
+    worst = np.full((len(queries), k), np.inf)  # the k least squared distances
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = [(0.0, 0, np.zeros(len(queries)), None)]
     while waiting:
-        least, page, parent = heapq.heappop(waiting)
-        reach = np.sqrt(max(furthest, 0.0)) + np.sqrt(slack)
-        if least > reach:
+        least, page, bounds, gaps = heapq.heappop(waiting)
+        reach = np.sqrt(np.maximum(furthest, 0.0)) + edge
+        if least > reach.max():
             break
-        entries = np.arange(tree.first[page], tree.first[page + 1])
-        if parent is not None:  # the triangle inequality on stored distances, before any distance is worked out
-            entries = entries[np.abs(parent - tree.to_parent[entries]) - tree.radius[entries] <= reach]
-        rows = tree.point[entries]
-        squares = np.maximum(base - 2 * (points[rows] @ asked), 0.0)
+        asks = np.flatnonzero(bounds <= reach)
+        if not len(asks):
+            continue
+        here = np.arange(tree.first[page], tree.first[page + 1])
+        possible = np.ones((len(asks), len(here)), dtype=bool)
+        if gaps is not None:  # the triangle inequality on stored distances, before any distance is worked out
+            away = np.abs(gaps[asks, None] - tree.to_parent[here])
+            possible = away <= reach[asks, None] + tree.radius[here]
+            some = possible.any(axis=0)
+            here, possible = here[some], possible[:, some]
+        squares = base[asks, None] - 2 * (queries[asks] @ entries[here, :width].T)
         if tree.leads[tree.first[page]] >= 0:
-            gaps = np.sqrt(squares)
-            bounds = np.maximum(gaps - tree.radius[entries] - np.sqrt(slack), least)
-            for i in np.flatnonzero(bounds <= reach):
-                heapq.heappush(waiting, (float(bounds[i]), int(tree.leads[entries[i]]), float(gaps[i])))
+            beyond = np.where(possible, np.sqrt(np.maximum(squares, 0.0)), np.inf)
+            for i, entry in enumerate(here.tolist()):
+                below = np.full(len(queries), np.inf)
+                below[asks] = np.maximum(beyond[:, i] - tree.radius[entry] - edge[asks], bounds[asks])
+                apart = np.zeros(len(queries))
+                apart[asks] = beyond[:, i]
+                heapq.heappush(waiting, (float(below.min()), int(tree.leads[entry]), below, apart))
+            continue
+        rows = tree.point[here]
+        near = possible & (squares <= (furthest + slack)[asks, None]) & (rows != own[asks, None])
+        which, what = np.nonzero(near)
+        if not len(which):
             continue
-        near = (squares <= furthest + slack) & ~np.isin(rows, own)
-        rows, squares = rows[near], squares[near]
-        kept.append((rows, squares))
-        for square in np.sort(squares)[:k].tolist():
-            if len(worst) < k:
-                heapq.heappush(worst, -square)
-            elif -square > worst[0]:
-                heapq.heapreplace(worst, -square)
-        if len(worst) == k:
-            furthest = min(furthest, -worst[0])
+        kept.append((asks[which], rows[what], squares[which, what]))
+        best_now = np.concatenate([worst[asks], np.where(near, squares, np.inf)], axis=1)
+        worst[asks] = np.partition(best_now, k - 1, axis=1)[:, :k]
+        furthest[asks] = np.minimum(furthest[asks], worst[asks].max(axis=1))
     if not kept:
-        return np.zeros(0, dtype=np.int64)
-    rows, squares = (np.concatenate(x) for x in zip(*kept))
-    return rows[squares <= furthest + slack]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    which, rows, squares = (np.concatenate(x) for x in zip(*kept))
+    close = squares <= (furthest + slack)[which]
+    which, rows = which[close], rows[close]
+    order = np.argsort(which, kind="stable")
+    return which[order], rows[order]
 
 
 def plant(blocks: DataFrame, dim: int) -> DataFrame:
@@ -198,13 +215,19 @@ def top_k(
                 ids, numbers, matrix = unpack(tile["ids"], tile["rows"], tile["matrix"], dim)
                 kinds = (np.int64, np.int64, np.float64, np.float64, np.int64)
                 tree = Tree(*[np.frombuffer(p, dtype=t) for p, t in zip(tile["tree"], kinds)])
-                points = lifted(matrix)
-                for i in range(len(q)):
-                    who = (int(q_rows[i]), int(q_ids[i]))
-                    own = np.flatnonzero(numbers == q_rows[i])
-                    rows_ = search(tree, points, q[i], k, own, heaps.floor(who))
-                    scores = (matrix[rows_] @ q[i]).astype(np.int64)
-                    heaps.offer(who, list(zip(scores.tolist(), (-ids[rows_]).tolist(), (-numbers[rows_]).tolist())))
+                entries = lifted(matrix)[tree.point]
+                places = dict(zip(numbers.tolist(), range(len(numbers))))
+                who = list(zip(q_rows.tolist(), q_ids.tolist()))
+                own = np.array([places.get(row, -1) for row, _ in who], dtype=np.int64)
+                for start in range(0, len(q), GROUP):
+                    part = slice(start, start + GROUP)
+                    floor = np.array([heaps.floor(w) for w in who[part]])
+                    which, rows_ = search(tree, entries, q[part], k, own[part], floor)
+                    scores = (matrix[rows_] * q[part][which]).sum(axis=1).astype(np.int64).tolist()
+                    found = list(zip(scores, (-ids[rows_]).tolist(), (-numbers[rows_]).tolist()))
+                    ends = np.searchsorted(which, np.arange(len(who[part]) + 1))
+                    for i, w in enumerate(who[part]):
+                        heaps.offer(w, found[ends[i] : ends[i + 1]])
                 held += 1
             if held >= 64:
                 yield heaps.batch(pa.int64())
