@@ -29,9 +29,11 @@ def board_order() -> list[Column]:
 
 
 def ranking(triage: DataFrame, tenders: DataFrame, cut: int = 80) -> DataFrame:
-    return triage.join(tenders.withColumnRenamed("id", "tender_id"), "tender_id").select(
+    """Judged tenders with their place on the profile's list, best score first, then tender."""
+    shown = triage.join(tenders.withColumnRenamed("id", "tender_id"), "tender_id").select(
         "profile_id", "tender_id", "score", "state", collapse_cut("object", cut).alias("object"), "reason"
     )
+    return number_rows(shown, ["profile_id"], [F.col("score").desc(), F.col("tender_id").asc()], "place")
 
 
 def to_analyse(triage: DataFrame, analyses: DataFrame, k: int, redo: bool = False) -> DataFrame:
@@ -101,7 +103,7 @@ def cached_answers(requests: DataFrame, questions: DataFrame) -> DataFrame:
 
 def with_history(turns: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
     """Every turn with the n turns before it, oldest first, as `history`."""
-    numbered = number_rows(turns, ["conv_id"], F.floor(F.col("turn") / 1024), [F.col("turn").asc()], "_n")
+    numbered = number_rows(turns, ["conv_id"], [F.col("turn").asc()], "_n")
     return previous_rows(numbered, ["conv_id"], "_n", F.col("text"), n, "history").drop("_n")
 
 

@@ -1,7 +1,7 @@
 """Per-key building blocks that stay safe when one key holds a large share of all rows.
 
 None of them gathers a whole group in one task: last-per-key and top-k reduce before
-the shuffle, and numbering, context and running maxima work on (key, block) pieces
+the shuffle, and numbering works on ranges of (key, order), context and running maxima on (key, block) pieces,
 whose totals are combined in a second, much smaller step.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prumo.session import materialize
+
 BLOCK = 4096
 
 
@@ -27,48 +29,46 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
-    """The first k rows per key, numbered from 1. Spark limits each input partition to
-    k rows per key before the shuffle, so a hot key never travels whole."""
+    """The first k rows per key, numbered from 1. Spark limits each input partition to k rows per key before the
+    shuffle, so a hot key never travels whole, as long as k is at most spark.sql.optimizer.windowGroupLimitThreshold
+    (1,000 unless set). For a larger k use `number_rows` and a filter."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
-) -> DataFrame:
-    """Sum of `value` over the rows before each row of its key, exact, without one task per key.
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Sum of `value` over the rows before each row of its key, exact, however many rows one key has.
 
-    `block` must never decrease along `order` within a key. Rows are added up inside
-    (key, block); what lies before a block comes from the block totals. `df` is read twice:
-    store it first if it is costly.
+    Rows are dealt out in ranges of (keys, order), so a hot key spans many of them, also when all its rows share
+    the leading part of the order. Rows are added up inside (key, range); what lies before a range comes from
+    the sums per (key, range). The ranges are written once, since sampling could cut them elsewhere if they were made again.
     """
-    df = df.withColumns({"_block": block, "_value": value})
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.withColumn("_value", value).repartitionByRange(*[F.col(k) for k in keys], *order)
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        df.groupBy(*keys, "_block")
+        ranged.groupBy(*keys, "_range")
         .agg(F.sum("_value").alias("_sum"))
         .select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.col("_block").alias("_b"),
+            F.col("_range").alias("_r"),
             F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
         )
     )
-    same = F.col("_block").eqNullSafe(F.col("_b"))
+    same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(totals, same)
+        ranged.join(totals, same)
         .withColumn(name, (F.sum("_value").over(inside) - F.col("_value") + F.col("_offset")).cast("long"))
-        .drop("_block", "_value", "_b", "_offset", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_value", "_range", "_r", "_offset", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str = "n"
-) -> DataFrame:
-    """`row_number` over `keys`, as a running total of ones."""
-    return running_total(df, keys, block, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
+    """`row_number` over `keys`, as a running total of ones. The order must be total."""
+    return running_total(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def with_block_context(df: DataFrame, number: str, back: int, block: int = BLOCK) -> DataFrame:
@@ -122,13 +122,20 @@ def running_max(
     heads = (
         df.groupBy(*keys, "_piece")
         .agg(F.max("_v").alias("_m"))
-        .select(*keys, "_piece", F.max("_m").over(before).alias("_head"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.col("_piece").alias("_p"),
+            F.max("_m").over(before).alias("_head"),
+        )
     )
+    same = F.col("_piece") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = (
         Window.partitionBy(*keys, "_piece").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        df.join(heads, [*keys, "_piece"])
+        df.join(heads, same)
         .withColumn(name, F.greatest(F.max("_v").over(inside), F.col("_head")))
-        .drop("_v", "_piece", "_head")
+        .drop("_v", "_piece", "_head", "_p", *[f"_k{i}" for i in range(len(keys))])
     )

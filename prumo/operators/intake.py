@@ -3,16 +3,12 @@ stored, the daily cap, the client's window."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prumo.fixed_values import CLIENT_MAX, CLIENT_WINDOW_SECONDS, DAILY_CAP
-from prumo.operators.grouping import top_per_key
-from prumo.operators.pacing import SECOND
+from prumo.operators.grouping import number_rows
+from prumo.operators.pacing import SECOND, admit
 from prumo.session import materialize
 
 CACHED, OVER_CAP, OVER_WINDOW, ANSWERED, FAILED = "cached", "daily cap", "client window", "answered", "failed"
@@ -20,11 +16,7 @@ DAY_US = 86400 * SECOND
 
 
 def replay_questions(
-    requests: DataFrame,
-    cap: int = DAILY_CAP,
-    most: int = CLIENT_MAX,
-    window_seconds: int = CLIENT_WINDOW_SECONDS,
-    prefix: int = 100_000,
+    requests: DataFrame, cap: int = DAILY_CAP, most: int = CLIENT_MAX, window_seconds: int = CLIENT_WINDOW_SECONDS
 ) -> DataFrame:
     """`requests(id, at_us, client, tender_id, normalized, with_history, fails)` plus `outcome`.
 
@@ -32,99 +24,58 @@ def replay_questions(
     once the UTC day has stored its cap, it is refused; else the client's window decides, and
     takes the slot also when the model then fails. Only stored answers count for the day.
 
-    What a day stores is at most its cap, so only the beginning of a day has to be taken in
-    order, until the cap is reached; everything else follows from what was stored by joins. Days
-    are taken side by side. What they hand on (stored answers, slots still held at midnight) is
-    settled by repeating until nothing changes, which is the sequential result. A day that has
-    not reached its cap after `prefix` questions the log could not answer is given more.
+    Two tables decide everything: when a question's answer was first stored, and which answer closed a day.
+    From a guess of both, the questions that reach the client windows follow by joins, the windows by `admit` (a client's
+    arrivals are folded in runs), and from the answers both tables anew, the closing one through counts in ranges of
+    a day, so any cap will do. The earliest row that was still wrong is right after each round, so what no longer
+    changes is the result of taking the log row by row; the rounds are those of the longest chain of corrections.
     """
-    window_us = window_seconds * SECOND
     log = requests.withColumn("day", F.floor(F.col("at_us") / DAY_US))
     log = materialize(log, "question-log")
+    here = F.struct("at_us", "id")
     spark = requests.sparkSession
-    taken_schema = T.StructType(
-        [log.schema[c] for c in ("id", "at_us", "day", "client", "tender_id", "normalized", "with_history")]
-        + [T.StructField("outcome", T.StringType()), T.StructField("reached", T.BooleanType())]
-    )
-    names = [f.name for f in taken_schema.fields]
-
-    def one_day(frame: pd.DataFrame) -> pd.DataFrame:
-        held = defaultdict(list)
-        stored, count, out = set(), 0, []
-        for r in frame.sort_values(["at_us", "id"]).itertuples(index=False):
-            if r.carried:
-                held[r.client].append(r.at_us)
-                continue
-            question = (r.tender_id, r.normalized)
-            if not r.with_history and question in stored:
-                continue
-            held[r.client] = [h for h in held[r.client] if r.at_us - h <= window_us]
-            if len(held[r.client]) >= most:
-                continue
-            held[r.client].append(r.at_us)
-            if not r.fails:
-                count += 1
-                if not r.with_history:
-                    stored.add(question)
-            out.append((r.id, r.at_us, r.day, r.client, *question, r.with_history, FAILED if r.fails else ANSWERED, count >= cap))
-            if count >= cap:
-                break
-        return pd.DataFrame(out, columns=names)
-
-    taken = spark.createDataFrame([], taken_schema)
-    size, before = prefix, None
+    moment = f"struct<at_us:{log.schema['at_us'].dataType.simpleString()},id:{log.schema['id'].dataType.simpleString()}>"
+    kinds = ", ".join(f"{c} {log.schema[c].dataType.simpleString()}" for c in ("tender_id", "normalized"))
+    first = spark.createDataFrame([], f"{kinds}, first {moment}")
+    full = spark.createDataFrame([], f"day {log.schema['day'].dataType.simpleString()}, full {moment}")
     while True:
-        stored = taken.where((F.col("outcome") == ANSWERED) & ~F.col("with_history"))
-        first = stored.groupBy("tender_id", "normalized").agg(F.min(F.struct("at_us", "id")).alias("first"))
-        # What the log already answers changes nothing else: it is left out of the ordered part.
-        unknown = (
-            log.join(first, ["tender_id", "normalized"], "left")
-            .where(F.col("with_history") | F.coalesce(F.col("first") >= F.struct("at_us", "id"), F.lit(True)))
-            .withColumn("carried", F.lit(False))
-        )
-        start = top_per_key(unknown, ["day"], [F.col("at_us").asc(), F.col("id").asc()], size, "_place")
-        # Slots of the last window before midnight are still held in the next day.
-        carried = (
-            taken.withColumn("day", F.col("day") + 1)
-            .where(F.col("day") * DAY_US - F.col("at_us") <= window_us)
-            .withColumn("fails", F.lit(False))
-            .withColumn("carried", F.lit(True))
-        )
-        columns = ["id", "at_us", "day", "client", "tender_id", "normalized", "with_history", "fails", "carried"]
-        taken = materialize(
-            start.select(*columns).unionByName(carried.select(*columns)).groupBy("day").applyInPandas(one_day, taken_schema),
-            "questions-taken",
-        )
-        # A day is settled when its cap was reached or its whole log was taken in order.
-        longer = (
-            unknown.groupBy("day").agg(F.count("*").alias("n")).where(F.col("n") > size)
-            .join(taken.where("reached").select("day"), "day", "left_anti")
-        )
-        settled = before is not None and _same(before, taken)
-        if settled and longer.isEmpty():
-            break
+        placed = _placed(log, first, full, cap)
+        waiting = placed.where("turned IS NULL").drop("turned")
+        admitted = materialize(admit(waiting, "client", "at_us", "id", most, window_seconds), "questions-admitted")
+        answers = admitted.where(F.col("admitted") & ~F.col("fails"))
+        found = answers.where(~F.col("with_history")).groupBy("tender_id", "normalized").agg(F.min(here).alias("first"))
+        counted = number_rows(answers, ["day"], [F.col("at_us").asc(), F.col("id").asc()], "n")
+        closed = counted.where(F.col("n") == cap).select("day", here.alias("full"))
+        found, closed = materialize(found, "first-answers"), materialize(closed, "closed-days")
+        settled = _same(first, found) and _same(full, closed)
+        first, full = found, closed
         if settled:
-            size *= 4
-        before = taken
+            break
+    outcome = (
+        F.when(F.col("turned").isNotNull(), F.col("turned"))
+        .when(~F.col("admitted"), OVER_WINDOW)
+        .when(F.col("fails"), FAILED)
+        .otherwise(ANSWERED)
+    )
+    reached = admitted.select("id", "admitted")
+    return placed.join(reached, "id", "left").select(*requests.columns, outcome.alias("outcome"))
+
 
-    full = taken.where("reached").groupBy("day").agg(F.min(F.struct("at_us", "id")).alias("full"))
+def _placed(log: DataFrame, first: DataFrame, full: DataFrame, cap: int) -> DataFrame:
+    """`turned`: why a question never reaches its client's window, if so, by what was stored before it."""
     here = F.struct("at_us", "id")
+    late = F.coalesce(F.col("full") < here, F.lit(False)) if cap > 0 else F.lit(True)
     return (
-        log.join(taken.select("id", "outcome"), "id", "left")
-        .join(first, ["tender_id", "normalized"], "left")
+        log.join(first, ["tender_id", "normalized"], "left")
         .join(full, "day", "left")
         .withColumn(
-            "outcome",
-            F.when(F.col("outcome").isNotNull(), F.col("outcome"))
-            .when(~F.col("with_history") & F.coalesce(F.col("first") < here, F.lit(False)), CACHED)
-            .when(F.coalesce(F.col("full") < here, F.lit(False)), OVER_CAP)
-            .otherwise(OVER_WINDOW),
+            "turned",
+            F.when(~F.col("with_history") & F.coalesce(F.col("first") < here, F.lit(False)), CACHED).when(late, OVER_CAP),
         )
-        .select(*requests.columns, "outcome")
+        .drop("first", "full")
     )
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two outcomes list the same questions with the same outcome."""
-    keys = ["id", "outcome"]
-    return a.join(b.select(keys), keys, "left_anti").isEmpty() and b.join(a.select(keys), keys, "left_anti").isEmpty()
+    """Whether two tables without repeated rows hold the same rows."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prumo.fixed_values import CLIENT_MAX, CLIENT_WINDOW_SECONDS, DAILY_CAP
-from prumo.operators.grouping import BLOCK, number_rows, running_max, top_per_key
+from prumo.operators.grouping import BLOCK, number_rows, running_max
 from prumo.session import materialize
 
 SECOND = 1_000_000
-MINUTE_US = 60 * SECOND
 
 
 # Arrivals of a key are kept in rows of PIECE times; RUN consecutive rows are folded by one task.
@@ -60,9 +59,7 @@ def admit(
     """
     window_us = window_seconds * SECOND
     nothing = F.array().cast("array<bigint>")
-    numbered = number_rows(
-        events, [key], F.floor(F.col(at_us) / MINUTE_US), [F.col(at_us).asc(), F.col(tie).asc()], "_n"
-    )
+    numbered = number_rows(events, [key], [F.col(at_us).asc(), F.col(tie).asc()], "_n")
     at = F.floor((F.col("_n") - 1) / piece)
     pieces = materialize(
         numbered.groupBy(key, F.floor(at / run).alias("_run"), at.alias("_piece"))
@@ -132,7 +129,7 @@ def pace(events: DataFrame, key: str, at_us: str, tie: str, interval_us: int) ->
     Closed form: i·interval + the running maximum of arrival_j − j·interval.
     """
     order = [F.col(at_us).asc(), F.col(tie).asc()]
-    numbered = number_rows(events, [key], F.floor(F.col(at_us) / MINUTE_US), order, "_n")
+    numbered = number_rows(events, [key], order, "_n")
     numbered = materialize(numbered, "arrivals")
     slack = F.col(at_us) - F.col("_n") * F.lit(interval_us).cast("long")
     return (
@@ -143,18 +140,14 @@ def pace(events: DataFrame, key: str, at_us: str, tie: str, interval_us: int) ->
 
 
 def daily_cap(events: DataFrame, at: str, tie: str, cap: int = DAILY_CAP) -> DataFrame:
-    """The first `cap` events of each UTC day over all keys are `admitted`.
+    """The first `cap` events of each UTC day over all keys are `admitted`; an event without a time never is.
 
-    Only the cap-th event of a day is looked up; it never gathers the day.
+    Any cap will do: rows are counted in ranges of (day, time), so no day is gathered.
     """
     dated = events.withColumn("_day", F.date_trunc("day", F.col(at)))
-    first = top_per_key(
-        dated.select("_day", F.col(at).alias("_at"), F.col(tie).alias("_tie")),
-        ["_day"], [F.col("_at").asc(), F.col("_tie").asc()], cap, "_place",
-    )
-    last = first.groupBy("_day").agg(F.max(F.struct("_at", "_tie")).alias("_last"))
-    within = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie")) <= F.col("_last")
-    return dated.join(last, "_day").withColumn("admitted", within).drop("_day", "_last")
+    numbered = number_rows(dated, ["_day"], [F.col(at).asc(), F.col(tie).asc()], "_place")
+    within = F.col(at).isNotNull() & (F.col("_place") <= cap)
+    return numbered.withColumn("admitted", within).drop("_day", "_place")
 
 
 def closed_days(sweeps: DataFrame, today: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from prumo.fixed_values import CHUNK_CHARS, DONE, PAGE_TEXT_LIMIT
 from prumo.functions.display import document_label
 from prumo.functions.predicates import is_readable_type
 from prumo.functions.text import SPACE, reading_order, strip
-from prumo.operators.grouping import BLOCK, running_total
+from prumo.operators.grouping import running_total
 
 
 def text_blocks(text: Column) -> Column:
@@ -91,8 +91,8 @@ def number_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Global page number per tender over its readable documents: type, sequence, page.
 
     Pages of a document are numbered from 1 without gaps, so a page only needs to know how many
-    pages the documents before its own have. Page texts are neither sorted nor shuffled for it,
-    and the documents of a large tender are added up in blocks.
+    pages the documents before its own have. Page texts are not sorted for it; they are shuffled by document only
+    where the numbers are too many to broadcast. The documents of a large tender are added up in ranges.
     """
     counts = pages.groupBy("document_id").agg(F.count("*").alias("_pages"))
     docs = readable_documents(documents).select(
@@ -102,7 +102,6 @@ def number_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     placed = running_total(
         docs.join(counts, "document_id"),
         ["tender_id"],
-        F.struct("type_id", F.floor(F.col("seq") / BLOCK).alias("run")),
         order,
         F.col("_pages"),
         "_before",

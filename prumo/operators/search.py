@@ -303,6 +303,6 @@ def list_items(items: DataFrame, k: int = ITEM_LIMIT) -> DataFrame:
         collapse_cut("description", ITEM_DESCRIPTION).alias("description"),
         F.col("quantity").cast("double").alias("quantity"),
         "unit",
-        F.col("total_value").cast("double").alias("value"),
+        F.col("unit_value").cast("double").alias("value"),
         "benefit",
     )

@@ -12,7 +12,7 @@ from prumo.fixed_values import BATCH_SIZE, CANDIDATE_LIMIT, MAX_OBJECT, RELEVANT
 from prumo.functions.display import format_brl
 from prumo.functions.predicates import in_range_or_unknown, is_open
 from prumo.functions.text import collapse_cut, strip
-from prumo.operators.grouping import keep_last, top_per_key
+from prumo.operators.grouping import keep_last, number_rows, top_per_key
 from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_phrase, weight
 from prumo.session import materialize
 
@@ -35,9 +35,43 @@ def candidates(
 ) -> DataFrame:
     """The k best open tenders per profile that match it and were not judged for it yet.
 
-    Only open tenders are indexed. Pairs arise from shared words, never from all profiles
-    times all tenders; state, value and earlier judgement then thin them out before ranking.
+    Only open tenders are indexed. Profiles that ask the same (phrases, states, bounds) are one ask, so tenders are matched and
+    ranked once per different ask. Of each ask only the k best stay, and as many more as the most judged of
+    its profiles has judged; only those meet profiles. Rows so grow with asks times the tenders they match, and with profiles times k.
     """
+    members = _asks(profiles)
+    distinct = members.groupBy("ask").agg(F.first("profile").alias("p")).select(F.col("ask").alias("id"), "p.*")
+    judged = triage.select("profile_id", F.col("tender_id").alias("id"))
+    spare = (
+        members.join(judged.groupBy("profile_id").agg(F.count("*").alias("n")), "profile_id", "left")
+        .groupBy("ask")
+        .agg(F.max(F.coalesce("n", F.lit(0))).alias("spare"))
+    )
+    ranked = number_rows(_matches(tenders, distinct, now, language), ["ask"], RANKING, "at")
+    best = ranked.join(spare, "ask").where(F.col("at") <= k + F.col("spare")).drop("at", "spare")
+    best = materialize(best, "best-of-asks")
+    left = members.select("profile_id", "ask").join(best, "ask").drop("ask").join(judged, ["profile_id", "id"], "left_anti")
+    return top_per_key(left, ["profile_id"], RANKING, k, "place").withColumnRenamed("id", "tender_id")
+
+
+RANKING = [F.desc("rank"), F.asc_nulls_last("closes_at"), F.asc("id")]
+
+
+def _asks(profiles: DataFrame) -> DataFrame:
+    """(profile_id, ask, profile): profiles with equal phrases, states and bounds share an ask, named by its smallest profile."""
+    wanted = F.struct(
+        F.array_sort(F.array_distinct(F.coalesce("keywords", F.array().cast("array<string>")))).alias("keywords"),
+        F.array_sort(F.array_distinct("states")).alias("states"),
+        "min_value",
+        "max_value",
+    )
+    listed = materialize(profiles.select(F.col("id").alias("profile_id"), wanted.alias("profile")), "asks")
+    named = listed.groupBy(F.col("profile").alias("same")).agg(F.min("profile_id").alias("ask"))
+    return listed.join(named, F.col("profile").eqNullSafe(F.col("same"))).select("profile_id", "ask", "profile")
+
+
+def _matches(tenders: DataFrame, profiles: DataFrame, now: Column, language: Language) -> DataFrame:
+    """(ask, id, closes_at, rank): open tenders that match an ask, with the weight of its words in them."""
     open_ = tenders.where(is_open("closes_at", now))
     posted = materialize(index_texts(open_, search_text(), ["id"], language), "postings")
     keywords = keywords_of(profiles).where(F.trim("phrase") != "").distinct()
@@ -64,21 +98,11 @@ def candidates(
     # Sums of word weights; dividing by the profile's word count would not change the order.
     nothing = F.lit(0).cast("long")
     score = F.aggregate("words", nothing, lambda total, x: total + F.coalesce(F.col("weights")[x], nothing))
-    scores = (
+    return (
         met.where(in_range_or_unknown("estimated_value", "min_value", "max_value"))
-        .select("profile_id", "id", "closes_at", score.alias("rank"))
+        .select(F.col("profile_id").alias("ask"), "id", "closes_at", score.alias("rank"))
         .distinct()
-        .join(
-            triage.select("profile_id", F.col("tender_id").alias("id")), ["profile_id", "id"], "left_anti"
-        )
     )
-    return top_per_key(
-        scores,
-        ["profile_id"],
-        [F.col("rank").desc(), F.col("closes_at").asc_nulls_last(), F.col("id").asc()],
-        k,
-        "place",
-    ).withColumnRenamed("id", "tender_id")
 
 
 def batch_by_rank(ranked: DataFrame, place: str = "place", size: int = BATCH_SIZE) -> DataFrame:

@@ -31,9 +31,8 @@ def triage_board(t: Tables) -> DataFrame:
     from prumo.operators.grouping import number_rows
 
     board = t.store("board", lambda: B.triage_board(A.triage(t), A.analyses(t), A.tenders(t)))
-    block = F.struct(F.col("recommendation").isNull().alias("a"), (-F.col("score")).alias("b"))
     none = F.lit(-1).cast("long")
-    return number_rows(board, ["profile_id"], block, B.board_order(), "place").select(
+    return number_rows(board, ["profile_id"], B.board_order(), "place").select(
         "profile_id", "tender_id", F.col("score").cast("long").alias("score"),
         F.coalesce("recommendation", F.lit("")).alias("recommendation"),
         F.coalesce(F.col("citations_total").cast("long"), none).alias("total"),
@@ -51,7 +50,8 @@ def triage_board_all(t: Tables) -> DataFrame:
 
 @query(
     with_sql(*BASE)
-    + """SELECT j.profile_id, j.tender_id, CAST(j.score AS BIGINT) AS score, t.state, substring(t.object, 1, 80) AS object, j.reason
+    + """SELECT j.profile_id, j.tender_id, CAST(j.score AS BIGINT) AS score, t.state, substring(t.object, 1, 80) AS object, j.reason,
+           row_number() OVER (PARTITION BY j.profile_id ORDER BY j.score DESC, j.tender_id) AS place
          FROM triage j JOIN tenders t ON t.id = j.tender_id"""
 )
 def ranking_list(t: Tables) -> DataFrame:

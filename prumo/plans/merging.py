@@ -3,11 +3,14 @@ from another, so both share keys, differ in some and repeat some."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prumo.operators import merge as M
 from prumo.operators import reports as R
+from prumo.operators.paging import paginate
 from prumo.plans import tables as A
 from prumo.plans.listings import FILES, files
 from prumo.plans.registry import Tables, query
@@ -142,18 +145,21 @@ def reconciled_documents(t: Tables) -> DataFrame:
     )
 
 
-# Pages re-read for labelled documents, in chunks of half the size; Spanish documents are gone.
+# Labelled documents are read again whole, into pages of half the size; Spanish documents are gone.
 @query(
     with_sql(A.DOCUMENT_PAGES)
-    + """SELECT document_id, CAST(number AS BIGINT) AS number, doc_pages.text FROM doc_pages JOIN documents d ON d.doc_id = document_id
+    + ", "
+    + re.sub(r"\b(doc_\w+)", r"half_\1", A.document_pages_sql(1500)).replace("half_doc_id", "doc_id")
+    + """SELECT document_id, CAST(number AS BIGINT) AS number, p.text FROM doc_pages p JOIN documents d ON d.doc_id = document_id
          WHERE d.lang <> 'es' AND document_id NOT IN (SELECT doc_id FROM labels)
          UNION ALL
-         SELECT d.doc_id, CAST(1 AS BIGINT), substring(d.text, 1, 100) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang <> 'es'"""
+         SELECT document_id, CAST(number AS BIGINT), p.text FROM half_doc_pages p JOIN documents d ON d.doc_id = document_id
+         WHERE d.lang <> 'es' AND document_id IN (SELECT doc_id FROM labels)"""
 )
 def replaced_pages(t: Tables) -> DataFrame:
-    read = t.documents.join(t.labels, "doc_id").select(
-        F.col("doc_id").alias("document_id"), F.lit(1).alias("number"), F.lit(None).cast("string").alias("source_file"),
-        F.lit(1).alias("page_in_file"), F.left("text", F.lit(100)).alias("text"),
+    again = t.documents.join(t.labels, "doc_id", "left_semi").select(F.col("doc_id").alias("document_id"), "text")
+    read = paginate(again, "text", 1500).select(
+        "document_id", "number", F.lit(None).cast("string").alias("source_file"), F.col("number").alias("page_in_file"), "text"
     )
     left = A.documents(t).where(F.col("type_id") != 16)
     return M.replace_pages(A.document_pages(t), read, left).select("document_id", F.col("number").cast("long").alias("number"), "text")
@@ -212,9 +218,12 @@ def cascaded_deletes(t: Tables) -> DataFrame:
     return M.cascade_delete(t.lineitem, left, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region WHERE (SELECT count(*) FROM nation) = 0")
+@query("SELECT 'full' AS held, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'empty', r_regionkey, r_name FROM region")
 def seeded_tables(t: Tables) -> DataFrame:
-    """A seed row for a table that has rows is not added; for an empty one it is (tests)."""
+    """Seed rows for a table that has rows are not added; for one that never got a row they are."""
     table = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     seed = t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return K.seed_if_empty(table, seed)
+    bare = t.spark.createDataFrame([], table.schema)
+    return K.seed_if_empty(table, seed).select(F.lit("full").alias("held"), "id", "name").unionByName(
+        K.seed_if_empty(bare, seed).select(F.lit("empty").alias("held"), "id", "name")
+    )

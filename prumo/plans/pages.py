@@ -40,17 +40,24 @@ def open_tenders(t: Tables) -> DataFrame:
 
 @query(
     with_sql(A.TENDERS, A.PROFILES)
-    + """SELECT p.id AS profile_id, count(*) AS tenders FROM profiles p JOIN tenders t ON p.id = t.id
-         WHERE len(p.states) = 0 OR list_contains(p.states, t.state) GROUP BY p.id"""
+    + """SELECT p.id AS profile_id, count(*) AS tenders FROM profiles p JOIN tenders t
+         ON len(p.states) = 0 OR list_contains(p.states, t.state) GROUP BY p.id"""
 )
 def states_served(t: Tables) -> DataFrame:
-    """Profiles against the tender of their own number: an empty state list admits every state."""
-    joined = A.profiles(t).join(A.tenders(t).select("id", "state"), "id")
-    return (
-        joined.where(P.member_or_all("state", "states"))
-        .groupBy(F.col("id").alias("profile_id"))
-        .agg(F.count("*").alias("tenders"))
+    """Tenders of the states each profile serves; an empty state list admits every state. Tenders are counted
+    by state first, profiles by their list, so nothing is paired but states with lists of states."""
+    counts = A.tenders(t).groupBy("state").agg(F.count("*").alias("n"))
+    lists = A.profiles(t).select(F.col("id").alias("profile_id"), F.array_sort(F.array_distinct("states")).alias("states"))
+    # A list admits its own states; the empty one meets every state through a key of its own.
+    keyed = lists.select("states").distinct().select("states", F.explode_outer("states").alias("key"))
+    reached = counts.select("*", F.explode(F.array(F.col("state"), F.lit(None).cast("string"))).alias("reach"))
+    served = (
+        keyed.join(reached, F.col("key").eqNullSafe(F.col("reach")))
+        .where(P.member_or_all("state", "states") & (F.col("key").isNotNull() | (F.size("states") == 0)))
+        .groupBy("states")
+        .agg(F.sum("n").alias("tenders"))
     )
+    return lists.join(served, "states").select("profile_id", "tenders")
 
 
 @query(with_sql(A.DOCUMENT_VIEW) + "SELECT document_id, type_id FROM document_view WHERE type_id IN (2, 4, 6)")
@@ -214,12 +221,11 @@ def last_per_key(t: Tables) -> DataFrame:
          FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, tender_id) AS place FROM triage)"""
 )
 def batches_by_rank(t: Tables) -> DataFrame:
-    """All judgements of a profile in batches of twenty, best first: the rank is counted in
-    blocks of equal score."""
+    """All judgements of a profile in batches of twenty, best first."""
     from prumo.operators.triage import batch_by_rank
 
     ranked = G.number_rows(
-        t.store("triage", lambda: A.triage(t)), ["profile_id"], -F.col("score"), [F.col("score").desc(), F.col("tender_id").asc()], "place"
+        t.store("triage", lambda: A.triage(t)), ["profile_id"], [F.col("score").desc(), F.col("tender_id").asc()], "place"
     )
     return batch_by_rank(ranked).select(
         "profile_id", "tender_id", F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n")

@@ -184,7 +184,7 @@ def search_snippets(t: Tables) -> DataFrame:
 @query(
     with_sql(A.ITEMS, A.ITEMS_LAST)
     + """SELECT tender_id, number, substring(trim(regexp_replace(description, '\\s+', ' ', 'g')), 1, 200) AS description,
-           CAST(quantity AS DOUBLE) AS quantity, unit, CAST(total_value AS DOUBLE) AS value, coalesce(benefit, '') AS benefit FROM (
+           CAST(quantity AS DOUBLE) AS quantity, unit, CAST(unit_value AS DOUBLE) AS value, coalesce(benefit, '') AS benefit FROM (
            SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY number) AS k FROM items_last) WHERE k <= 80"""
 )
 def tender_items(t: Tables) -> DataFrame:

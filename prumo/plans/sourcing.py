@@ -134,18 +134,22 @@ def scanned_document_lists(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, 'arquivo grande: 0 MB' AS error FROM documents GROUP BY source HAVING sum(strlen(text) + 1) > 100000
-       UNION ALL SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT), '' FROM documents GROUP BY source HAVING sum(strlen(text) + 1) <= 100000"""
+    """SELECT file, bytes, CASE WHEN bytes > 100000 THEN 'arquivo grande: 0 MB' ELSE '' END AS error, CASE WHEN bytes > 100000 THEN '' ELSE digest END AS digest
+       FROM (SELECT source || '-' || doc_id // 20 AS file, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest
+             FROM documents GROUP BY ALL)"""
 )
 def scanned_binaries(t: Tables) -> DataFrame:
-    """Document texts as files, one per source, scanned as bytes with a small limit."""
+    """Document texts as files, one per twenty document numbers of a source, scanned as bytes with a small limit: the bytes
+    of the small ones are read, those of the large ones are not."""
     path = fresh_path(t.spark, "binaries")
-    t.documents.select("text", F.col("source").alias("src")).repartition("src").write.partitionBy("src").text(path)
+    file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
+    rows = t.documents.select("doc_id", "text", file.alias("file")).repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.drop("doc_id").write.partitionBy("file").text(path)
     found = X.scan_binaries(t.spark, path, 100_000, glob="*.txt")
     return found.select(
-        F.regexp_extract("path", "src=([^/]+)/", 1).alias("source"), F.col("size_bytes").alias("bytes"),
-        F.coalesce("error", F.lit("")).alias("error"),
-    ).groupBy("source").agg(F.sum("bytes").alias("bytes"), F.max("error").alias("error"))
+        F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.col("size_bytes").alias("bytes"),
+        F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("digest"),
+    )
 
 
 @F.pandas_udf(T.BinaryType())

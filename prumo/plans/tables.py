@@ -151,7 +151,7 @@ ANALYSES = """analyses AS (
 
 def items(t: Tables) -> DataFrame:
     """Lines as items of their order; the key (order, line number) repeats in the data."""
-    return t.lineitem.join(t.part.select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
+    return t.lineitem.join(t.part.select("p_partkey", "p_name", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("tender_id"),
         F.col("l_linenumber").alias("number"),
         F.concat("p_brand", F.lit("  "), "p_name").alias("description"),
@@ -162,6 +162,7 @@ def items(t: Tables) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("listed_at"),
         F.col("l_suppkey").alias("supplier"),
         F.col("l_partkey").alias("part"),
+        F.col("p_retailprice").cast("string").cast("decimal(18,4)").alias("unit_value"),
     )
 
 
@@ -170,7 +171,8 @@ ITEMS = """items AS (
          CAST(CAST(l_quantity AS VARCHAR) AS DECIMAL(18,4)) AS quantity, l_linestatus AS unit,
          CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(18,2)) AS total_value,
          CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS benefit,
-         l_shipdate AS listed_at, l_suppkey AS supplier, l_partkey AS part
+         l_shipdate AS listed_at, l_suppkey AS supplier, l_partkey AS part,
+         CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(18,4)) AS unit_value
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 # Items with one row per key: the last listed wins, other columns break ties.
@@ -178,7 +180,7 @@ ITEMS_LAST = """items_last AS (
   SELECT tender_id, number, r.* FROM (
     SELECT tender_id, number, max({'listed_at': listed_at, 'supplier': supplier, 'part': part,
              'description': description, 'quantity': quantity, 'unit': unit,
-             'total_value': total_value, 'benefit': benefit}) AS r
+             'total_value': total_value, 'benefit': benefit, 'unit_value': unit_value}) AS r
     FROM items GROUP BY tender_id, number))"""
 
 
@@ -229,7 +231,11 @@ def chunked(t: Tables) -> DataFrame:
     )
 
 
-# Greedy chunks of 3000 characters, one line at a time.
+def document_pages_sql(size: int) -> str:
+    """Greedy chunks of `size` characters, one line at a time."""
+    return DOCUMENT_PAGES.replace("> 3000", f"> {size}")
+
+
 DOCUMENT_PAGES = """doc_lines AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, line FROM (
     SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(line, '[ \\t\\xA0]+', ' ', 'g'), '^\\s+', ''), '\\s+$', '') AS line

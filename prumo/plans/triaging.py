@@ -48,7 +48,8 @@ BASE = (A.TENDERS, A.PROFILES, A.TRIAGE)
 
 
 def candidate_rows(t: Tables) -> DataFrame:
-    return Q.candidates(A.tenders(t), A.profiles(t), A.triage(t), F.lit(A.NOW).cast("timestamp"))
+    tenders = t.store("tenders", lambda: A.tenders(t))
+    return Q.candidates(tenders, A.profiles(t), t.store("triage", lambda: A.triage(t)), F.lit(A.NOW).cast("timestamp"))
 
 
 @query(with_sql(*BASE, CANDIDATES) + "SELECT profile_id, tender_id, rank, place FROM candidates")
@@ -156,34 +157,40 @@ def appended_triage(t: Tables) -> DataFrame:
 @query(
     with_sql(*A.PAGE_VIEWS, A.PROFILES)
     + """, pairs AS (SELECT s_suppkey AS profile_id, 'src' || s_nationkey % 20 AS tender_id FROM supplier JOIN part ON p_partkey = s_suppkey),
-set_tenders AS (SELECT source AS id, 'Órgão de ' || source AS org, min(lang) AS state FROM documents GROUP BY source),
+asked AS (SELECT DISTINCT tender_id FROM pairs),
+set_tenders AS (
+  SELECT source AS id, 'Órgão de ' || source AS org, CASE WHEN source <> 'src3' THEN min(lang) END AS state,
+         CASE WHEN source <> 'src5' THEN 'Curitiba' END AS city FROM documents GROUP BY source),
 set_items AS (
   SELECT 'src' || p_size % 20 AS tender_id, row_number() OVER (PARTITION BY p_size % 20 ORDER BY p_partkey) AS number,
-         p_brand || ' ' || p_name AS description, CAST(p_size AS DECIMAL(18,4)) AS quantity, CASE WHEN p_type = 'STANDARD' THEN p_type END AS benefit
+         CASE WHEN p_size <> 9 THEN p_brand || ' ' || p_name END AS description, CAST(p_size AS DECIMAL(18,4)) AS quantity, CASE WHEN p_type = 'STANDARD' THEN p_type END AS benefit
   FROM part),
 totals AS (SELECT tender_id, count(*) AS total FROM set_items GROUP BY tender_id)
 SELECT x.profile_id, x.tender_id, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS at,
   'EMPRESA' || chr(10) || p.description || chr(10) || 'Documentos que a empresa já possui:' || chr(10)
-  || array_to_string(list_transform(p.documents, lambda d: '- ' || d), chr(10)) || chr(10) || chr(10)
-  || 'LICITAÇÃO (dados do PNCP)' || chr(10) || 'Órgão: ' || s.org || ' (Curitiba/' || s.state || ')' || chr(10) || 'Objeto: Compra de ' || s.id
-  || CASE WHEN m.total > 0 THEN chr(10) || 'Itens (' || m.total || ' no total):' ELSE '' END AS text
-FROM pairs x JOIN profiles p ON p.id = x.profile_id JOIN set_tenders s ON s.id = x.tender_id LEFT JOIN totals m ON m.tender_id = x.tender_id
+  || array_to_string(list_transform(p.documents, lambda d: '- ' || d), chr(10)) || chr(10) AS text
+FROM pairs x JOIN profiles p ON p.id = x.profile_id
 UNION ALL
-SELECT x.profile_id, x.tender_id, 1, i.number, '- ' || i.number || '. ' || i.description || ' ('
+SELECT NULL, x.tender_id, 1, 0,
+  'LICITAÇÃO (dados do PNCP)' || chr(10) || 'Órgão: ' || s.org || ' (' || coalesce(s.city, '?') || '/' || coalesce(s.state, '?') || ')' || chr(10) || 'Objeto: Compra de ' || s.id
+  || CASE WHEN m.total > 0 THEN chr(10) || 'Itens (' || m.total || ' no total):' ELSE '' END
+FROM asked x JOIN set_tenders s ON s.id = x.tender_id LEFT JOIN totals m ON m.tender_id = x.tender_id
+UNION ALL
+SELECT NULL, x.tender_id, 2, i.number, '- ' || i.number || '. ' || coalesce(i.description, '') || ' ('
   || CASE WHEN i.quantity = 0 THEN '?' ELSE CAST(i.quantity AS VARCHAR) END || ' UN)' || coalesce(' [' || i.benefit || ']', '')
-FROM pairs x JOIN set_items i ON i.tender_id = x.tender_id WHERE i.number <= 40
+FROM asked x JOIN set_items i ON i.tender_id = x.tender_id WHERE i.number <= 40
 UNION ALL
-SELECT x.profile_id, x.tender_id, 2, 0, '- ... e mais ' || (m.total - 40) || ' itens' FROM pairs x JOIN totals m ON m.tender_id = x.tender_id WHERE m.total > 40
+SELECT NULL, x.tender_id, 3, 0, '- ... e mais ' || (m.total - 40) || ' itens' FROM asked x JOIN totals m ON m.tender_id = x.tender_id WHERE m.total > 40
 UNION ALL
-SELECT x.profile_id, x.tender_id, 3, 0, chr(10) || 'DOCUMENTOS' FROM pairs x JOIN set_tenders s ON s.id = x.tender_id
+SELECT NULL, x.tender_id, 4, 0, chr(10) || 'DOCUMENTOS' FROM asked x JOIN set_tenders s ON s.id = x.tender_id
 UNION ALL
-SELECT x.profile_id, x.tender_id, 4, g.page, CASE WHEN g.first THEN chr(10) || '===== ' || g.document || ' =====' || chr(10) ELSE '' END
+SELECT NULL, x.tender_id, 5, g.page, CASE WHEN g.first THEN chr(10) || '===== ' || g.document || ' =====' || chr(10) ELSE '' END
   || '[p. ' || g.page || ']' || chr(10) || g.text
-FROM pairs x JOIN (SELECT *, row_number() OVER (PARTITION BY tender_id, document ORDER BY page) = 1 AS first FROM global_pages) g ON g.tender_id = x.tender_id"""
+FROM asked x JOIN (SELECT *, row_number() OVER (PARTITION BY tender_id, document ORDER BY page) = 1 AS first FROM global_pages) g ON g.tender_id = x.tender_id"""
 )
 def analysis_prompt_parts(t: Tables) -> DataFrame:
-    """The document set of a source, read for every supplier of its number: company, tender,
-    first forty items, all pages."""
+    """The document set of a source, read for every supplier of its number: each company, and once the tender, its
+    first forty items and all pages. Some have no city, state or description."""
     from prumo.operators.grouping import number_rows
 
     part = t.part
@@ -191,18 +198,19 @@ def analysis_prompt_parts(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("profile_id"), F.concat(F.lit("src"), (F.col("s_nationkey") % 20).cast("string")).alias("tender_id")
     )
     tenders = t.documents.groupBy("source").agg(F.min("lang").alias("state")).select(
-        F.col("source").alias("id"), F.concat(F.lit("Órgão de "), "source").alias("org"), F.lit("Curitiba").alias("city"), "state",
+        F.col("source").alias("id"), F.concat(F.lit("Órgão de "), "source").alias("org"), F.when(F.col("source") != "src5", F.lit("Curitiba")).alias("city"),
+        F.when(F.col("source") != "src3", F.col("state")).alias("state"),
         F.concat(F.lit("Compra   de "), "source").alias("object"),
     )
     listed = part.select(
         F.concat(F.lit("src"), (F.col("p_size") % 20).cast("string")).alias("tender_id"),
         "p_partkey",
-        F.concat("p_brand", F.lit("\t "), "p_name").alias("description"),
+        F.when(F.col("p_size") != 9, F.concat("p_brand", F.lit("\t "), "p_name")).alias("description"),
         F.col("p_size").cast("decimal(18,4)").alias("quantity"),
         F.lit("UN").alias("unit"),
         F.when(F.col("p_type") == "STANDARD", F.col("p_type")).alias("benefit"),
     )
-    items = number_rows(listed, ["tender_id"], F.floor(F.col("p_partkey") / 1000), [F.col("p_partkey").asc()], "number")
+    items = number_rows(listed, ["tender_id"], [F.col("p_partkey").asc()], "number")
     parts = R.analysis_parts(pairs, A.profiles(t), tenders, items, A.global_pages(t))
     return parts.withColumn("section", F.col("section").cast("long"))
 
