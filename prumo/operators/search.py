@@ -6,6 +6,7 @@ of a phrase or word set; more frequent words are only checked against what that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,6 +24,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 # Parts per billion given to the j-th occurrence of a word: 1/j², cut to whole numbers so
 # that sums do not depend on their order. It reaches zero after MAX_COUNTED occurrences.
 RANK_UNIT, MAX_COUNTED = 10**9, 31623
+REMEMBERED = 300_000
 
 
 @dataclass(frozen=True)
@@ -37,20 +39,23 @@ PORTUGUESE = Language("portuguese", STOPWORDS_PT, True)
 
 
 def stemmer(language: Language):
-    """Arrow UDF on token arrays: stopwords become null, the rest their stem. Each worker
-    remembers the words it has met, so the stemming itself runs about once per word."""
+    """Arrow UDF on token arrays: stopwords become null, the rest their stem. A task remembers the words it has met
+    (up to REMEMBERED of them), so the stemming itself runs about once per word and task."""
     stop = language.stopwords
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stems(tokens: pd.Series) -> pd.Series:
+    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, str | None] = {}
 
         def one(word: str) -> str | None:
             if word not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen[word] = None if word in stop else stem_pt(word)
             return seen[word]
 
-        return tokens.map(lambda ws: None if ws is None else [one(w) for w in ws])
+        for tokens in batches:
+            yield tokens.map(lambda ws: None if ws is None else [one(w) for w in ws])
 
     return stems
 
@@ -83,11 +88,25 @@ def postings(terms: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def index_texts(df: DataFrame, text: Column | str, keys: list[str], language: Language = SIMPLE) -> DataFrame:
+def index_texts(
+    df: DataFrame, text: Column | str, keys: list[str], language: Language = SIMPLE, words: DataFrame | None = None
+) -> DataFrame:
     """Postings of a text column. The texts are shuffled by their key once; their words, many
-    times as large, then stay where they are."""
-    placed = df.select(*keys, as_col(text).alias("_text")).repartition(*keys)
-    return postings(analyze(placed, "_text", keys, language), keys)
+    times as large, then stay where they are.
+
+    With `words(lexeme)`, for a lookup without a stored index, only those words are posted: no text is shuffled, and
+    of the words only the wanted ones.
+    """
+    texts = df.select(*keys, as_col(text).alias("_text"))
+    if words is None:
+        return postings(analyze(texts.repartition(*keys), "_text", keys, language), keys)
+    terms = analyze(texts, "_text", keys, language)
+    return postings(terms.join(words.select("lexeme").distinct(), "lexeme", "left_semi"), keys)
+
+
+def phrase_words(phrases: DataFrame, language: Language = SIMPLE) -> DataFrame:
+    """(lexeme) of `phrases(phrase)`."""
+    return analyze(phrases.select("phrase").distinct(), "phrase", ["phrase"], language).select("lexeme")
 
 
 def frequencies(posted: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,7 +145,10 @@ def match_phrase(
         *keys, "phrase", "at", F.size("others").alias("n"), F.explode("others").alias("other")
     ).select(*keys, "phrase", "at", "n", F.col("other.lexeme").alias("lexeme"), (F.col("at") + F.col("other.shift")).alias("want"))
     met = (
-        need.join(posted.select(*keys, "lexeme", "positions"), [*keys, "lexeme"])
+        need.join(
+            posted.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").select(*keys, "lexeme", "positions"),
+            [*keys, "lexeme"],
+        )
         .where(F.array_contains("positions", F.col("want")))
         .groupBy(*keys, "phrase", "at", "n")
         .agg(F.count("*").alias("met"))

@@ -22,8 +22,8 @@ postings AS (
 PAGE_KEY = ["tender_id", "page"]
 
 
-def page_postings(t: Tables) -> DataFrame:
-    return S.index_texts(A.global_pages(t), "text", PAGE_KEY)
+def page_postings(t: Tables, words: DataFrame | None = None) -> DataFrame:
+    return S.index_texts(A.global_pages(t), "text", PAGE_KEY, words=words)
 
 
 @query(with_sql(*A.PAGE_VIEWS, TERMS) + "SELECT tender_id, page, lexeme, CAST(pos AS BIGINT) AS pos FROM page_terms")
@@ -66,8 +66,8 @@ def word_slice(start: int, n: int):
          JOIN phrases f ON contains(p.words, ' ' || f.phrase || ' ')"""
 )
 def phrase_matches(t: Tables) -> DataFrame:
-    posted = materialize(page_postings(t), "postings")
     phrases = t.benchmark.select(word_slice(2, 3).alias("phrase"))
+    posted = materialize(page_postings(t, S.phrase_words(phrases)), "postings")
     return S.match_phrase(posted, phrases, PAGE_KEY)
 
 
@@ -80,10 +80,10 @@ def phrase_matches(t: Tables) -> DataFrame:
 )
 def any_phrase_matches(t: Tables) -> DataFrame:
     """Two phrases and a blank one per profile."""
-    posted = materialize(page_postings(t), "postings")
     keywords = t.benchmark.select(
         F.col("item_id").alias("profile_id"), F.explode(F.array(word_slice(1, 2), word_slice(3, 3), F.lit("  "))).alias("phrase")
     )
+    posted = materialize(page_postings(t, S.phrase_words(keywords)), "postings")
     return S.match_any(posted, keywords, PAGE_KEY)
 
 
@@ -96,12 +96,12 @@ def any_phrase_matches(t: Tables) -> DataFrame:
            AND (list_contains(p.words, q.w[3]) OR list_contains(p.words, q.w[4])) AND NOT list_contains(p.words, q.w[5])"""
 )
 def word_matches(t: Tables) -> DataFrame:
-    posted = materialize(page_postings(t), "postings")
     words = F.regexp_extract_all(F.lower("text"), F.lit(S.TOKEN), F.lit(0))
     asked = t.benchmark.select(
         F.col("item_id").alias("query_id"), F.slice(words, 1, 2).alias("all_of"), F.slice(words, 3, 2).alias("any_of"),
         F.slice(words, 5, 1).alias("none_of"),
     )
+    posted = materialize(page_postings(t, asked.select(F.explode(F.concat("all_of", "any_of", "none_of")).alias("lexeme"))), "postings")
     return S.match_words(posted, asked, PAGE_KEY)
 
 
@@ -129,8 +129,8 @@ def word_queries(t: Tables) -> DataFrame:
          GROUP BY p.tender_id, p.page, q.query_id"""
 )
 def frequency_rank(t: Tables) -> DataFrame:
-    posted = materialize(page_postings(t), "postings")
     words = S.query_words(word_queries(t), "words", S.SIMPLE)
+    posted = materialize(page_postings(t, words), "postings")
     return S.rank(posted, words, PAGE_KEY).select(*PAGE_KEY, "query_id", "rank", "met")
 
 
@@ -144,7 +144,9 @@ found AS (
 
 
 def page_search(t: Tables) -> DataFrame:
-    return S.search_pages(materialize(page_postings(t), "postings"), word_queries(t))
+    asked = word_queries(t)
+    posted = materialize(page_postings(t, S.query_words(asked, "words", S.SIMPLE)), "postings")
+    return S.search_pages(posted, asked)
 
 
 @query(with_sql(*A.PAGE_VIEWS, TERMS, PHRASES, WEIGHTS, SEARCH) + "SELECT query_id, tender_id, page, has_all, rank, place FROM found")
