@@ -220,3 +220,20 @@ def swept_tenders(t: Tables) -> DataFrame:
     W.sweep(t.spark, source, state, multi_line=False, files_per_batch=1)
     current = W.latest_snapshot(t.spark, state)
     return shown_tenders(current)
+
+
+@query(
+    """SELECT strftime(day, '%Y-%m-%d') AS day, CAST(6 AS BIGINT) AS modality_id, CAST(max(page) AS BIGINT) AS last_page, CAST(max(records) AS BIGINT) AS total_records,
+         day < DATE '1998-01-01' - 1 AS closed, count(*) AS new, CAST(0 AS BIGINT) AS updated
+       FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey // 50 + 1 AS page, count(*) OVER (PARTITION BY o_orderkey // 50) AS records FROM orders) GROUP BY day"""
+)
+def sweep_progress(t: Tables) -> DataFrame:
+    """How far the days of the swept envelopes were read, and the tenders each brought."""
+    source, state = fresh_path(t.spark, "arrivals"), fresh_path(t.spark, "sweep")
+    envelopes(t).repartition(3).write.json(source)
+    W.sweep(t.spark, source, state, multi_line=False, files_per_batch=1, today=F.to_date(F.lit("1998-01-01")))
+    done = W.sweep_progress(t.spark, state)
+    return done.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.col(c).cast("long").alias(c) for c in ("modality_id", "last_page", "total_records")],
+        "closed", "new", "updated",
+    )

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prumo.fixed_values import CLIENT_MAX, CLIENT_WINDOW_SECONDS
@@ -22,28 +23,35 @@ def admit_stream(
 ) -> DataFrame:
     """(key, tie, at_us, admitted) for a stream of arrivals.
 
-    State per key is at most `most` times. Arrivals of one micro-batch are taken in time order;
-    across micro-batches the order of arrival counts. The size of a micro-batch, which the
+    State per key is at most `most` times, and is dropped once the stream's event time has left the key's window
+    behind. Arrivals of one micro-batch are taken in time order; across micro-batches the order of arrival
+    counts, and one that comes more than a window late is dropped by the watermark. The size of a micro-batch, which the
     source limits, bounds what one key can bring to a task.
     """
     window_us = window_seconds * SECOND
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values([at_us, tie])
         flags, held = admit_piece(rows[at_us].to_numpy(), held, most, window_us)
         state.update((held,))
+        leaves = (int(rows[at_us].max()) + window_us) // 1000 + 1
+        state.setTimeoutTimestamp(max(leaves, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), at_us: rows[at_us].to_numpy(), "admitted": flags})
 
     return (
-        events.select(key, tie, at_us)
+        events.select(key, tie, at_us, F.timestamp_micros(at_us).alias("_at"))
+        .withWatermark("_at", f"{window_seconds} seconds")
         .groupBy(key)
         .applyInPandasWithState(
             step,
             f"{key} {types[key]}, {tie} {types[tie]}, {at_us} bigint, admitted boolean",
             "held array<bigint>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )

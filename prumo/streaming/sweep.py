@@ -1,47 +1,112 @@
-"""Incremental sweep: portal pages arrive as files and are merged into snapshots of the tenders.
+"""Incremental sweep: portal pages arrive as files and are merged into a bucketed table of tenders.
 
-Each micro-batch writes the next snapshot from the one before it. A batch that is run again
-after a crash starts from the same snapshot and writes the same path, so nothing is counted
-twice.
+A micro-batch writes new versions of the buckets it touches and leaves the others alone; a small table says
+which version of each bucket counts, and is written last. A batch that is run again after a crash starts from
+the same versions and writes the same paths, so nothing is counted twice. Beside the tenders it keeps how far each day of
+each modality was read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from prumo.fixed_values import SOURCE_ZONE
 from prumo.operators.merge import merge_tenders
-from prumo.schemas import TENDERS
+from prumo.schemas import SWEEPS, TENDERS
+from prumo.session import materialize
 from prumo.sources.portal import ENVELOPE, open_envelopes, parse_tenders
+from prumo.sources.sinks import bucket_of
 
 ORDER = ["updated_at", "page", "raw"]
+BUCKETS = 64
+VERSIONS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+COUNTED = T.StructType([*SWEEPS.fields, T.StructField("new", T.LongType()), T.StructField("updated", T.LongType())])
+
+
+def _files(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
 def snapshots(spark: SparkSession, state: str) -> list[int]:
-    """Numbers of the snapshots that were written to the end, oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{state}/tenders")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Numbers of the micro-batches that were written to the end, oldest first."""
+    fs, root = _files(spark, f"{state}/versions")
     if not fs.exists(root):
         return []
     found = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("batch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+        if name.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
             found.append(int(name.removeprefix("batch-")))
     return sorted(found)
 
 
-def snapshot(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot, or the newest one before a batch; empty when there is none."""
-    numbers = [n for n in snapshots(spark, state) if before is None or n < before]
-    if not numbers:
-        return spark.createDataFrame([], TENDERS)
-    return spark.read.schema(TENDERS).parquet(f"{state}/tenders/batch-{numbers[-1]:08d}")
+def _versions(spark: SparkSession, state: str, batch: int | None) -> dict[int, int]:
+    """The version of each bucket after a batch: as many rows as buckets at most."""
+    if batch is None:
+        return {}
+    rows = spark.read.schema(VERSIONS).parquet(f"{state}/versions/batch-{batch:08d}").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def _folder(state: str, bucket: int, version: int) -> str:
+    return f"{state}/tenders/version={version:08d}/bucket={bucket}"
+
+
+def _buckets(spark: SparkSession, state: str, versions: dict[int, int]) -> DataFrame:
+    paths = [_folder(state, b, v) for b, v in sorted(versions.items())]
+    return spark.read.schema(TENDERS).parquet(*paths) if paths else spark.createDataFrame([], TENDERS)
 
 
 def latest_snapshot(spark: SparkSession, state: str) -> DataFrame:
-    return snapshot(spark, state)
+    """All tenders as of the last finished micro-batch; empty when there is none."""
+    done = snapshots(spark, state)
+    return _buckets(spark, state, _versions(spark, state, done[-1] if done else None))
+
+
+def sweep_progress(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
+    """Per day and modality: last page, totals, whether it is closed, and the tenders it brought new and again."""
+    done = [n for n in snapshots(spark, state) if before is None or n < before]
+    if not done:
+        return spark.createDataFrame([], COUNTED)
+    return spark.read.schema(COUNTED).parquet(f"{state}/sweeps/batch-{done[-1]:08d}")
+
+
+def _day() -> Column:
+    """The portal's day of publication."""
+    return F.to_date(F.from_utc_timestamp("published_at", SOURCE_ZONE))
+
+
+def _progress(old: DataFrame, arrived: DataFrame, merged: DataFrame, today: Column) -> DataFrame:
+    keys = ["day", "modality_id"]
+    read = arrived.groupBy(_day().alias("day"), "modality_id").agg(
+        *[F.max(c).cast("int").alias(n) for c, n in (("page", "last_page"), ("total_pages", "total_pages"), ("total_records", "total_records"))],
+        F.max("updated_at").alias("updated_at"),
+    )
+    came = merged.join(arrived.select("id").distinct(), "id", "left_semi")
+    counts = came.groupBy(_day().alias("day"), "modality_id").agg(
+        F.count(F.when(F.col("inserted"), 1)).alias("new"), F.count(F.when(~F.col("inserted"), 1)).alias("updated")
+    )
+    fresh = read.join(counts, keys, "left").select(*keys, *[F.col(c).alias(f"_{c}") for c in COUNTED.fieldNames()[2:] if c != "closed"])
+    both = old.join(fresh, keys, "full")
+
+    def total(c: str) -> Column:
+        return (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).cast("long").alias(c)
+
+    latest = both.select(
+        *keys,
+        F.greatest("last_page", "_last_page").alias("last_page"),
+        F.coalesce("_total_pages", "total_pages").alias("total_pages"),
+        F.coalesce("_total_records", "total_records").alias("total_records"),
+        F.greatest("updated_at", "_updated_at").alias("updated_at"),
+        total("new"),
+        total("updated"),
+    )
+    # Read to its end and older than yesterday: nothing more is expected of it.
+    whole = (F.col("last_page") >= F.col("total_pages")) & (F.col("day") < F.date_sub(today, 1))
+    return latest.withColumn("closed", F.coalesce(whole, F.lit(False))).select(*COUNTED.fieldNames())
 
 
 def sweep(
@@ -51,11 +116,15 @@ def sweep(
     accept: Column | None = None,
     multi_line: bool = True,
     files_per_batch: int = 100,
+    buckets: int = BUCKETS,
+    today: Column | None = None,
 ) -> None:
     """Merge all envelopes that arrived under `source` since the last run, then stop.
 
     `accept` is a condition on parsed tenders, for instance that their day is still open:
-    a plain filter, since no operator of this stream keeps event-time state.
+    a plain filter, since no operator of this stream keeps event-time state. `buckets` is fixed for a `state`
+    folder: a bucket is what a micro-batch rewrites, so their number grows with the table. Versions that neither this
+    batch nor the one before it uses are deleted.
     """
     envelopes = (
         spark.readStream.schema(ENVELOPE)
@@ -63,14 +132,32 @@ def sweep(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(source)
     )
+    now = today if today is not None else F.current_date()
 
     def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
         arrived = parse_tenders(open_envelopes(batch))
         if accept is not None:
             arrived = arrived.where(accept)
-        current = snapshot(batch.sparkSession, state, before=number)
-        after = merge_tenders(current, arrived.drop("total_pages", "total_records"), ORDER).drop("inserted")
-        after.select(*TENDERS.fieldNames()).write.mode("overwrite").parquet(f"{state}/tenders/batch-{number:08d}")
+        arrived = materialize(arrived.withColumn("bucket", bucket_of(["id"], buckets)), "arrived")
+        done = [n for n in snapshots(session, state) if n < number]
+        versions = _versions(session, state, done[-1] if done else None)
+        touched = {r["bucket"] for r in arrived.select("bucket").distinct().collect()}  # at most the buckets
+        current = _buckets(session, state, {b: v for b, v in versions.items() if b in touched})
+        merged = materialize(
+            merge_tenders(current, arrived.drop("total_pages", "total_records", "bucket"), ORDER), "merged"
+        )
+        merged.select(*TENDERS.fieldNames(), bucket_of(["id"], buckets).alias("bucket")).repartition("bucket", "id").write.mode(
+            "overwrite"
+        ).partitionBy("bucket").parquet(f"{state}/tenders/version={number:08d}")
+        old = sweep_progress(session, state, before=number)
+        _progress(old, arrived, merged, now).write.mode("overwrite").parquet(f"{state}/sweeps/batch-{number:08d}")
+        after = [(b, number if b in touched else versions[b]) for b in sorted(touched | set(versions))]
+        session.createDataFrame(after, VERSIONS).coalesce(1).write.mode("overwrite").parquet(f"{state}/versions/batch-{number:08d}")
+        for bucket, version in (_versions(session, state, done[-2]) if len(done) > 1 else {}).items():
+            if versions.get(bucket) != version:
+                fs, path = _files(session, _folder(state, bucket, version))
+                fs.delete(path, True)
 
     run = (
         envelopes.writeStream.foreachBatch(merge)
