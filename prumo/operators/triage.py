@@ -47,14 +47,15 @@ def candidates(
         .groupBy("ask")
         .agg(F.max(F.coalesce("n", F.lit(0))).alias("spare"))
     )
-    ranked = number_rows(_matches(tenders, distinct, now, language), ["ask"], RANKING, "at")
+    ranked = number_rows(_matches(tenders, distinct, now, language), ["ask"], _ranking(), "at")
     best = ranked.join(spare, "ask").where(F.col("at") <= k + F.col("spare")).drop("at", "spare")
     best = materialize(best, "best-of-asks")
     left = members.select("profile_id", "ask").join(best, "ask").drop("ask").join(judged, ["profile_id", "id"], "left_anti")
-    return top_per_key(left, ["profile_id"], RANKING, k, "place").withColumnRenamed("id", "tender_id")
+    return top_per_key(left, ["profile_id"], _ranking(), k, "place").withColumnRenamed("id", "tender_id")
 
 
-RANKING = [F.desc("rank"), F.asc_nulls_last("closes_at"), F.asc("id")]
+def _ranking() -> list[Column]:
+    return [F.col("rank").desc(), F.col("closes_at").asc_nulls_last(), F.col("id").asc()]
 
 
 def _asks(profiles: DataFrame) -> DataFrame:
@@ -150,6 +151,10 @@ def triage_prompts(batches: DataFrame, tenders: DataFrame, profiles: DataFrame)
     )
 
 
+class NoAnswer(Exception):
+    """Raised by a judge that has no answer for a batch."""
+
+
 REPLIES = "profile_id long, batch int, n int, score int, reason string, model string, seq int"
 
 
@@ -159,8 +164,9 @@ def score_batches(
     model: str,
     parallel_calls: int | None = None,
 ) -> DataFrame:
-    """Ask an external judge about every batch. A batch that fails yields no rows: its tenders
-    stay unjudged and come back on the next run."""
+    """Ask an external judge about every batch. A batch without an answer (NoAnswer, or the OSError family: time-outs,
+    connections) yields no rows: its tenders stay unjudged and come back on the next run. Any other error of the judge is
+    a fault in its program and ends the job."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -168,7 +174,7 @@ def score_batches(
             for profile_id, batch, prompt in zip(frame.profile_id, frame.batch, frame.prompt):
                 try:
                     replies = judge(prompt)
-                except Exception:
+                except (NoAnswer, OSError):
                     continue
                 rows += [(profile_id, batch, n, s, r, model, i) for i, (n, s, r) in enumerate(replies)]
             yield pd.DataFrame(rows, columns=["profile_id", "batch", "n", "score", "reason", "model", "seq"])

@@ -193,6 +193,16 @@ def tender_items(t: Tables) -> DataFrame:
     return S.list_items(A.last_items(t)).withColumn("benefit", F.coalesce("benefit", F.lit("")))
 
 
+@query(
+    "SELECT doc_id, count(*) AS terms FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents) WHERE w NOT IN ("
+    + ", ".join(f"'{w}'" for w in sorted(S.STOPWORDS_PT))
+    + ") GROUP BY doc_id"
+)
+def portuguese_terms(t: Tables) -> DataFrame:
+    """Words that the Portuguese configuration keeps, per document."""
+    return S.analyze(t.documents, "text", ["doc_id"], S.PORTUGUESE).groupBy("doc_id").agg(F.count("*").alias("terms"))
+
+
 @query()
 def portuguese_lexemes(t: Tables) -> DataFrame:
     """The whole documents through the Portuguese configuration: words without a stem are

@@ -117,11 +117,21 @@ def applied_scores(t: Tables) -> DataFrame:
     return scored(t)[2].withColumn("score", F.col("score").cast("long"))
 
 
-@query()
+@query(
+    with_sql(*BASE, CANDIDATES, BATCHES, REPLIES)
+    + """, answered AS (
+  SELECT b.profile_id, b.batch, b.n, t.object AS o FROM batches b JOIN tenders t ON t.id = b.tender_id
+  JOIN first_lines f ON f.profile_id = b.profile_id AND f.batch = b.batch WHERE f.chars > 7)
+SELECT profile_id, batch, n, CAST(length(o) * 3 AS BIGINT) AS score, 'primeira' AS reason FROM answered WHERE n % 5 = 0
+UNION ALL SELECT profile_id, batch, n, CAST(least(100, length(o) * 6) AS BIGINT), ' objeto ' || substring(o, 1, 5) || ' ' FROM answered WHERE n % 7 <> 0
+UNION ALL SELECT DISTINCT profile_id, batch, 99, CAST(100 AS BIGINT), 'fora da lista' FROM answered"""
+)
 def scored_batches(t: Tables) -> DataFrame:
     """The judge's raw replies."""
     _, replies, _ = scored(t)
-    return replies.select("profile_id", "batch", "n", "score", "reason")
+    return replies.select(
+        "profile_id", F.col("batch").cast("long").alias("batch"), "n", F.col("score").cast("long").alias("score"), "reason"
+    )
 
 
 @query(
