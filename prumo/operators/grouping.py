@@ -52,7 +52,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
         .select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
             F.col("_range").alias("_r"),
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum_before"),
         )
     )
     same = F.col("_range") == F.col("_r")
@@ -61,8 +61,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.join(totals, same)
-        .withColumn(name, (F.sum("_value").over(inside) - F.col("_value") + F.col("_offset")).cast("long"))
-        .drop("_value", "_range", "_r", "_offset", *[f"_k{i}" for i in range(len(keys))])
+        .withColumn(name, (F.sum("_value").over(inside) - F.col("_value") + F.col("_sum_before")).cast("long"))
+        .drop("_value", "_range", "_r", "_sum_before", *[f"_k{i}" for i in range(len(keys))])
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from prumo.fixed_values import CHUNK_CHARS, DONE, PAGE_TEXT_LIMIT
 from prumo.functions.display import document_label
@@ -61,20 +60,13 @@ def number_in_document(pages: DataFrame, place: str | None = None) -> DataFrame:
     and then natural order of names.
 
     File totals per document give the offset of each file, so only the file list of a
-    document is ordered, never its pages.
+    document is ordered, in ranges, and never its pages.
     """
     file = place or "source_file"
-    name = F.coalesce("source_file", F.lit(""))
-    order = [F.col(place)] if place else reading_order(name)
-    before = Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pages.groupBy("document_id", file)
-        .agg(F.max("page_in_file").alias("_pages"))
-        .select(
-            F.col("document_id").alias("_doc"),
-            F.col(file).alias("_file"),
-            F.coalesce(F.sum("_pages").over(before), F.lit(0)).alias("_offset"),
-        )
+    order = [F.col(place).asc()] if place else reading_order(F.coalesce("source_file", F.lit("")))
+    files = pages.groupBy("document_id", file).agg(F.max("page_in_file").alias("_pages"))
+    offsets = running_total(files, ["document_id"], order, F.col("_pages"), "_offset").select(
+        F.col("document_id").alias("_doc"), F.col(file).alias("_file"), "_offset"
     )
     return (
         pages.join(offsets, (F.col("document_id") == F.col("_doc")) & F.col(file).eqNullSafe(F.col("_file")))

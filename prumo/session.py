@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the scopes that are open, innermost last.
+_scopes: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path under the shared folder, or under that of the innermost scope, that no other run uses."""
+    return os.path.join(_scopes[-1] if _scopes else shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scope") -> Iterator[str]:
+    """A scope for intermediate tables: what is materialized inside it is deleted at its end, so results must be
+    written elsewhere or collected before."""
+    folder = fresh_path(spark, name)
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

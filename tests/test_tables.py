@@ -165,3 +165,14 @@ def test_analysis_replies_are_checked(spark):
     assert out[1] == ("unreadable", None) and out[9] == ("unreadable", None)
     for i, (_, name) in enumerate(bad):
         assert out[i + 2] == (name, None)
+
+
+def test_a_scope_deletes_what_it_materialized(spark):
+    import os
+
+    from prumo.session import fresh_path, materialize, scratch
+
+    with scratch(spark) as folder:
+        assert materialize(spark.range(5).toDF("n"), "five").count() == 5
+        assert os.listdir(folder) and fresh_path(spark, "x").startswith(folder)
+    assert not os.path.exists(folder) and not fresh_path(spark, "x").startswith(folder)
