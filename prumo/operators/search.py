@@ -240,11 +240,15 @@ def rank(posted: DataFrame, words: DataFrame, keys: list[str], by: str = "query_
 def search_pages(
     posted: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, language: Language = SIMPLE
 ) -> DataFrame:
-    """Best k pages per query within the query's tender: pages with all words first, then by rank.
+    """Best k pages per query within the query's tender: pages with all words and phrases first, then by rank.
 
-    `posted(tender_id, page, lexeme, tf)`, `queries(query_id, tender_id, words)`.
+    `posted(tender_id, page, lexeme, tf, positions)`, `queries(query_id, tender_id, words)`. Two more array columns may be given:
+    `phrases`, whose words count as words and which must stand in the page for it to have all; and `none_of`, words
+    that keep a page out.
     """
     words = query_words(queries, "words", language)
+    if "phrases" in queries.columns:
+        words = words.unionByName(query_words(queries, "phrases", language)).distinct()
     scoped = words.join(queries.select("query_id", "tender_id"), "query_id")
     sizes = words.groupBy("query_id").agg(F.count("*").alias("n"))
     scored = (
@@ -260,6 +264,17 @@ def search_pages(
             F.floor(F.col("_w") / F.col("n")).cast("long").alias("rank"),
         )
     )
+    if "phrases" in queries.columns:
+        asked = queries.select("query_id", "tender_id", F.explode(F.array_distinct("phrases")).alias("phrase"))
+        spoken = match_phrase(posted, asked, ["tender_id", "page"], language)
+        said = asked.join(spoken, ["tender_id", "phrase"]).groupBy("query_id", "page").agg(F.count("*").alias("said"))
+        wanted = queries.select("query_id", F.size(F.array_distinct(F.coalesce("phrases", F.array().cast("array<string>")))).alias("wanted"))
+        scored = scored.join(said, ["query_id", "page"], "left").join(wanted, "query_id")
+        scored = scored.withColumn("has_all", F.col("has_all") & (F.coalesce("said", F.lit(0)) == F.col("wanted"))).drop("said", "wanted")
+    if "none_of" in queries.columns:
+        never = query_words(queries, "none_of", language).join(queries.select("query_id", "tender_id"), "query_id")
+        barred = posted.join(never, ["tender_id", "lexeme"]).select("query_id", "page")
+        scored = scored.join(barred, ["query_id", "page"], "left_anti")
     return top_per_key(
         scored, ["query_id"], [F.col("has_all").desc(), F.col("rank").desc(), F.col("page").asc()], k, "place"
     )

@@ -154,6 +154,29 @@ def search_pages(t: Tables) -> DataFrame:
     return page_search(t).withColumn("place", F.col("place").cast("long"))
 
 
+@query(
+    with_sql(*A.PAGE_VIEWS, TERMS, PHRASES, WEIGHTS.replace("w[1:3]", "w[1:4]"), SEARCH.split("found AS")[0].rstrip().rstrip(","))
+    + """, page_words AS (SELECT tender_id, page, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS pw FROM global_pages),
+  fitting AS (
+    SELECT h.query_id, h.tender_id, h.page, h.rank,
+           h.has_all AND contains(' ' || array_to_string(p.pw, ' ') || ' ', ' ' || array_to_string(b.w[2:4], ' ') || ' ') AS has_all
+    FROM hits h JOIN page_words p ON p.tender_id = h.tender_id AND p.page = h.page JOIN bench_words b ON b.item_id = h.query_id
+    WHERE NOT coalesce(list_contains(p.pw, b.w[7]), false))
+SELECT query_id, tender_id, page, has_all, rank, row_number() OVER (PARTITION BY query_id ORDER BY has_all DESC, rank DESC, page) AS place
+FROM fitting QUALIFY place <= 6"""
+)
+def search_pages_with_phrases(t: Tables) -> DataFrame:
+    """A word, a phrase of three and a word that must not stand in the page."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(S.TOKEN), F.lit(0))
+    asked = t.benchmark.select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tender_id"),
+        F.slice(words, 1, 1).alias("words"), F.array(word_slice(2, 3)).alias("phrases"), F.slice(words, 7, 1).alias("none_of"),
+    )
+    wanted = asked.select(F.explode(F.concat("words", F.split(F.get("phrases", F.lit(0)), " "), "none_of")).alias("lexeme"))
+    posted = materialize(page_postings(t, wanted), "postings")
+    return S.search_pages(posted, asked).withColumn("place", F.col("place").cast("long"))
+
+
 @query(
     with_sql(*A.PAGE_VIEWS, TERMS, PHRASES, WEIGHTS, SEARCH)
     + """, shown AS (
