@@ -61,11 +61,15 @@ def numbered_ranges(df: DataFrame, order: Sequence[str], totals: Iterable[str] =
 
 def sampled(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """About `most` rows of each value of column `by` at the most, chosen by a hash of column `key`: the bounded
-    sample a classifier is fitted on. Adds `_share`, the part of the value's rows that was kept."""
+    sample a classifier is fitted on. Adds `_share`, the part of the value's rows that was kept.
+
+    The values are the classes of the model, of which it holds a column each on the driver; their shares go to
+    every task, so that rows are not shuffled by a handful of values.
+    """
     counts = df.groupBy(by).agg(F.count("*").alias("_rows"))
     shares = counts.select(by, F.least(F.lit(1.0), F.lit(float(most)) / F.col("_rows")).alias("_share"))
     at = F.pmod(F.xxhash64(named(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.join(shares, by).filter(at < F.col("_share"))
+    return df.join(F.broadcast(shares), by).filter(at < F.col("_share"))
 
 
 class Remembered:
@@ -74,7 +78,7 @@ class Remembered:
     `work` turns a list of new words into such rows. The memory is emptied when it holds over `most` words.
     """
 
-    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 200_000):
+    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 120_000):
         self.work, self.most = work, most
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
@@ -112,3 +116,8 @@ def once_per_worker(tag: str, make: Callable[[], object]):
         _made.clear()
         _made[tag] = make()
     return _made[tag]
+
+
+def forget_made() -> None:
+    """Lets go of what an earlier stage kept in this Python worker, which Spark uses again."""
+    _made.clear()

@@ -72,7 +72,7 @@ class Lexicon:
                     then.update((child, 1) for child in self.next[node].values())
                     then.add((node, 1))
             found = self.closure(then)
-            if len(self.moves) > 200_000:
+            if len(self.moves) > 50_000:
                 self.moves.clear()
             self.moves[state, letter] = found
         return found
@@ -268,7 +268,8 @@ def read(spark: SparkSession, model: Model, text: Column) -> Column:
             ends = np.arange(0, found.size + 1, FEATURES, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
-    return features(text)
+    # Not to be worked out again for a filter on its result.
+    return features.asNondeterministic()(text)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
