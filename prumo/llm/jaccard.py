@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prumo.llm.common import named, small_batches
+from prumo.llm.common import forget_made, named, small_batches
 from prumo.session import materialize
 
 LONGER = 16
@@ -74,6 +74,7 @@ def frequent_ngrams(texts: DataFrame, words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_made()
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -109,6 +110,7 @@ def signatures(texts: DataFrame, words: int, similarity: Fraction, frequent: np.
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_made()
         often = shared.value
         for batch in batches:
             n, rare, one, two, first = [], [], [], [], []
@@ -153,6 +155,7 @@ def whole_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_made()
         bits = shared.value
         for batch in batches:
             slots = batch.column(1).to_numpy()
