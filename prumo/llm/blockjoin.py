@@ -30,6 +30,7 @@ from prumo.llm.vectors import (
     unpack,
     usable,
 )
+from prumo.session import materialize
 
 FOUND = "query_row long, query_id long, vec_id long, row long, score double"
 
@@ -109,7 +110,6 @@ def nearest(
     side. Vectors null, zero or with null or non-finite components, and rows with a null id, take no part; shorter vectors count as
     ending in zeros. With fewer than k candidates all are returned. Other columns are not read, so they cannot clash.
     """
-    df = few_rows_per_batch(df)
     rows = rows_of(df, id_col, vector_col, queries, lambda v: usable(v) & F.exists(v, lambda x: x != 0))
     dim = dimension(rows)
     asked = pack(rows.filter("asked"), QUERY_ROWS, dim)
@@ -128,5 +128,7 @@ def nearest(
         yield heaps.batch(pa.float64())
 
     columns = ["q_ids", "q_rows", "q_matrix", "ids", "rows", "matrix"]
-    return best(paired.select(*columns).mapInArrow(search, FOUND), k)
+    with few_rows_per_batch(df.sparkSession):
+        found = materialize(paired.select(*columns).mapInArrow(search, FOUND), "found")
+    return best(found, k)
 

@@ -180,7 +180,8 @@ def plant(blocks: DataFrame, dim: int) -> DataFrame:
                 columns += [pa.array([[p.tobytes() for p in parts]], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "rows", "matrix", "tree"])
 
-    return materialize(blocks.mapInArrow(grow, f"{BLOCK}, tree array<binary>"), "trees")
+    with few_rows_per_batch(blocks.sparkSession):
+        return materialize(blocks.mapInArrow(grow, f"{BLOCK}, tree array<binary>"), "trees")
 
 
 def top_k(
@@ -199,7 +200,6 @@ def top_k(
     vectors count as ending in zeros. Scores must stay below 2^53, where whole numbers are exact. With fewer than k
     candidates all are returned. Other columns are not read, so they cannot clash.
     """
-    df = few_rows_per_batch(df)
     rows = rows_of(df, id_col, vector_col, queries, usable)
     whole = F.transform("vector", lambda x: F.floor(x * F.lit(scale)).cast("double"))
     rows = rows.withColumn("vector", whole)
@@ -235,4 +235,6 @@ def top_k(
         yield heaps.batch(pa.int64())
 
     columns = ["q_ids", "q_rows", "q_matrix", "ids", "rows", "matrix", "tree"]
-    return best(paired.select(*columns).mapInArrow(searched, FOUND), k)
+    with few_rows_per_batch(df.sparkSession):
+        found = materialize(paired.select(*columns).mapInArrow(searched, FOUND), "found")
+    return best(found, k)

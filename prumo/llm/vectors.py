@@ -7,12 +7,13 @@ block sizes and tiles are dealt over all tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prumo.llm.common import named
@@ -96,7 +97,13 @@ def best(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def few_rows_per_batch(df: DataFrame) -> DataFrame:
-    """A row is a block or tile here, so that few go into an Arrow batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    return df
+@contextmanager
+def few_rows_per_batch(spark: SparkSession) -> Iterator[None]:
+    """While a table is made whose rows are blocks or tiles: few of them go into an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -73,8 +73,9 @@ def rows_with_groups(seed):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("words,similarity", [(3, Fraction(9, 10)), (5, Fraction(4, 5)), (1, Fraction(1, 2))])
-@pytest.mark.parametrize("frequent", [4, 64])
+@pytest.mark.parametrize(
+    "words,similarity,frequent", [(3, Fraction(9, 10), 4), (5, Fraction(4, 5), 4), (5, Fraction(4, 5), 64), (1, Fraction(1, 2), 64)]
+)
 def test_against_all_pairs(spark, monkeypatch, words, similarity, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rows = rows_with_groups(words)
