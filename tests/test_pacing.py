@@ -66,8 +66,8 @@ def brute_replay(rows, cap, most, w):
 def test_question_log_replay(spark):
     rng = random.Random(11)
     rows = []
-    for i in range(1200):
-        day = rng.randrange(5)
+    for i in range(600):
+        day = rng.randrange(3)
         second = rng.choice((rng.randrange(86400), 86400 - rng.randrange(900), rng.randrange(900)))
         client = "hot" if rng.random() < 0.35 else f"c{rng.randrange(6)}"
         rows.append((i, (day * 86400 + second) * SECOND + i, client, rng.randrange(4), f"q{rng.randrange(60)}",
