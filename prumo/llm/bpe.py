@@ -27,7 +27,7 @@ from prumo.llm.common import once_per_worker
 NONE = np.int32(2**30)  # rank of a pair that is not in the vocabulary
 WIDEST = 64  # bytes of the longest piece merged in a matrix
 ROWS = 8_192  # pieces per matrix
-REMEMBERED = 150_000  # pieces whose ids a worker keeps
+REMEMBERED = 80_000  # pieces whose ids a worker keeps
 
 
 class Vocabulary:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +82,7 @@ class Remembered:
     `work` turns a list of new words into such rows. The memory is emptied when it holds over `most` words.
     """
 
-    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 120_000):
+    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 60_000):
         self.work, self.most = work, most
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
@@ -113,11 +117,17 @@ _made: dict[str, object] = {}
 def once_per_worker(tag: str, make: Callable[[], object]):
     """What `make` builds, kept in this Python worker until another tag is asked for."""
     if tag not in _made:
-        _made.clear()
+        forget_made()
         _made[tag] = make()
     return _made[tag]
 
 
 def forget_made() -> None:
-    """Lets go of what an earlier stage kept in this Python worker, which Spark uses again."""
-    _made.clear()
+    """Lets go of what an earlier stage kept in this Python worker, which Spark uses again, and gives the memory back to
+    the system: freed objects alone would stay with the process."""
+    if _made:
+        _made.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
