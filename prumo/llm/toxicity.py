@@ -3,7 +3,11 @@
 The lexicon (terms, and stems that begin many terms) is learnt from labelled texts and kept as a trie. A
 word is run through the Levenshtein automaton of distance 1 intersected with that trie: a state is the
 set of (trie node, edits so far) the automaton can be in, and moves between states are worked out on first use. So a misspelt term
-is found in one pass over its letters, without listing variants.
+is found in one pass over its letters, without listing variants. Two adjacent letters swapped are one edit.
+
+A misspelt term counts as a fixed part of what the term counts, and only near terms that speak clearly. The part shrinks
+with the term's shortness and with how often unknown words one edit away stand in clean texts; a spelling that itself
+stands there is no slip. The odds of a window's hits add up.
 
 A hit counts in the window of words around it. What stands between quotation marks, or in a window that
 speaks of words rather than to somebody, counts apart from abuse; how much each is worth is learnt.
@@ -25,7 +29,11 @@ from prumo.llm.common import Remembered, named, once_per_worker, sampled, sums_p
 from prumo.session import materialize
 
 WINDOW = 12  # words to either side of a hit that count with it
-SHORTEST = 5  # letters from which a term may be misspelt
+SHORTEST = 5  # letters from which a term may be misspelt where nothing was learnt about slips
+SHORT, FULL = 4, 6  # letters from which a learnt term may be misspelt, and from which that takes nothing from its worth
+SLIPS = 0.05  # the part of a term's uses that is thought misspelt
+CLEAR = 0.75  # of the clearest term's weight: from there on misspelt terms count
+DISCOUNT = 0.9  # what a slip counts of the same evidence spelt right
 WORDS = regex.compile(r"\p{L}[\p{L}\p{N}]*")
 QUOTES = regex.compile(r"[\"“”„«»]")
 STEMS = range(4, 9)  # letters of a stem
@@ -33,44 +41,67 @@ FEATURES = 4
 
 
 class Lexicon:
-    """A trie of terms and stems, walked by the automaton."""
+    """A trie of terms and stems, walked by the automaton.
+
+    `slips` are the terms that may be misspelt and what they then weigh; by default all of SHORTEST or more letters, at
+    their own weight. With `swaps` two adjacent letters in the other order are one edit, not two.
+    """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(
+        self, terms: dict[str, float], stems: dict[str, float], slips: dict[str, float] | None = None, swaps: bool = False
+    ):
         self.next: list[dict[str, int]] = [{}]
-        self.term: list[float] = [0.0]
-        self.stem: list[float] = [0.0]
-        self.slips: list[bool] = [False]
-        for words, into in ((terms, self.term), (stems, self.stem)):
-            for word, weight in words.items():
-                node = 0
-                for letter in word:
-                    if letter not in self.next[node]:
-                        self.next[node][letter] = len(self.next)
-                        self.next.append({})
-                        self.term.append(0.0)
-                        self.stem.append(0.0)
-                        self.slips.append(False)
-                    node = self.next[node][letter]
+        if slips is None:
+            slips = {t: w for t, w in terms.items() if len(t) >= SHORTEST}
+        found = {kind: [self.add(word) for word in words] for kind, words in (("t", terms), ("m", stems), ("s", slips))}
+        self.term, self.stem, self.slip = ([0.0] * len(self.next) for _ in range(3))
+        for into, kind, words in ((self.term, "t", terms), (self.stem, "m", stems), (self.slip, "s", slips)):
+            for node, weight in zip(found[kind], words.values()):
                 into[node] = weight
-                self.slips[node] |= into is self.term and len(word) >= SHORTEST
+        self.words = dict(zip(found["s"], slips))
+        # Edits are only followed to where a term ends that may be misspelt.
+        self.leads = [weight > 0 for weight in self.slip]
+        for node in range(len(self.next) - 1, -1, -1):  # children come after their parents
+            self.leads[node] |= any(self.leads[child] for child in self.next[node].values())
+        self.swaps = swaps
         self.start = self.closure({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
 
-    def closure(self, states: set[tuple[int, int]]) -> frozenset:
+    def add(self, word: str) -> int:
+        node = 0
+        for letter in word:
+            if letter not in self.next[node]:
+                self.next[node][letter] = len(self.next)
+                self.next.append({})
+            node = self.next[node][letter]
+        return node
+
+    def closure(self, states: set[tuple]) -> frozenset:
         """Adds the states reached by leaving out one letter of a term."""
-        skipped = {(child, 1) for node, edits in states if edits == 0 for child in self.next[node].values()}
+        skipped = {(child, 1) for node, edits in states if edits == 0 for child in self.next[node].values() if self.leads[child]}
         return frozenset(states | skipped)
 
     def move(self, state: frozenset, letter: str) -> frozenset:
+        """Edits are 0, 1, or the letter that is still to come of a swapped pair."""
         found = self.moves.get((state, letter))
         if found is None:
             then = set()
             for node, edits in state:
-                if letter in self.next[node]:
-                    then.add((self.next[node][letter], edits))
-                if edits == 0:  # another letter in its place, or one too many
-                    then.update((child, 1) for child in self.next[node].values())
+                if isinstance(edits, str):
+                    if letter == edits:
+                        then.add((node, 1))
+                    continue
+                child = self.next[node].get(letter)
+                if child is not None and (edits == 0 or self.leads[child]):
+                    then.add((child, edits))
+                if edits == 0 and self.leads[node]:  # another letter in its place, or one too many
+                    then.update((child, 1) for child in self.next[node].values() if self.leads[child])
                     then.add((node, 1))
+                    if self.swaps:
+                        for first, child in self.next[node].items():
+                            after = self.next[child].get(letter)
+                            if first != letter and after is not None and self.leads[after]:
+                                then.add((after, first))
             found = self.closure(then)
             if len(self.moves) > 50_000:
                 self.moves.clear()
@@ -86,9 +117,18 @@ class Lexicon:
                 return stem, 0.0
             stem = max([stem, *(self.stem[node] for node, edits in state if edits == 0)])
         exact = max([stem, *(self.term[node] for node, edits in state if edits == 0)])
-        slip = max([0.0, *(self.term[node] for node, edits in state if edits and self.slips[node])])
+        slip = max([0.0, *(self.slip[node] for node, edits in state if edits == 1)])
         return exact, 0.0 if exact else slip
 
+    def near(self, word: str) -> list[str]:
+        """The terms that may be misspelt and are met with one slip."""
+        state = self.start
+        for letter in word:
+            state = self.move(state, letter)
+            if not state:
+                return []
+        return sorted({self.words[node] for node, edits in state if edits == 1 and node in self.words})
+
 
 @dataclass
 class Model:
@@ -96,17 +136,20 @@ class Model:
     stems: dict[str, float]
     weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     bias: float = 0.0
+    slips: dict[str, float] | None = None  # weights of misspelt terms
+    clean: frozenset[str] = frozenset()  # spellings near terms that are words of clean texts
 
 
 class Reader:
     """The features of texts: evidence of the worst window in plain speech and in quotation, misspelt hits apart."""
 
     def __init__(self, model: Model):
-        self.lexicon = Lexicon(model.terms, model.stems)
+        self.lexicon = Lexicon(model.terms, model.stems, model.slips, swaps=True)
+        self.clean = model.clean
         self.words = Remembered(self.look_all)
 
     def look(self, chunk: str) -> tuple[float, float, int]:
-        """Exact and misspelt evidence of a chunk between white space, and its quotation marks."""
+        """Exact and misspelt evidence (odds) of a chunk between white space, and its quotation marks."""
         exact = slip = 0.0
         lowered = chunk.lower()
         found = WORDS.findall(lowered)
@@ -115,7 +158,7 @@ class Reader:
             found.append(bare)  # a sign in place of a letter
         for word in found:
             a, b = self.lexicon.match(word)
-            exact, slip = exact + a, slip + b
+            exact, slip = exact + np.expm1(a), slip + (0.0 if word in self.clean else np.expm1(b))
         return exact, 0.0 if exact else slip, len(QUOTES.findall(chunk)) if not chunk.isalnum() else 0
 
     def look_all(self, chunks: list[str]) -> np.ndarray:
@@ -141,21 +184,25 @@ class Reader:
         out = np.zeros(FEATURES)
         for kind in (0, 1):
             for said in (0, 1):
-                weight = np.where(quoted == bool(said), looked[hits, kind], 0.0)
+                weight = np.where(quoted == bool(said), looked[hits, kind].astype(np.float64), 0.0)
                 sums = np.concatenate([[0.0], np.cumsum(weight)])
                 ends = np.searchsorted(hits, hits + 2 * WINDOW, side="right")
                 out[2 * said + kind] = np.log1p((sums[ends] - sums[:-1]).max())
         return out
 
 
-def _lexicon(words: DataFrame, totals: dict[int, int], support: int, most: int, odds: float) -> dict[str, float]:
-    """Words of (word, bad, good) whose smoothed odds of standing in a toxic text speak for it: the `most` clearest."""
+def _clearly(totals: dict[int, int]) -> Column:
+    """A lower bound of a word's log odds ratio, so that a word met by chance a few times does not count."""
     rate = F.log((F.col("bad") + 0.5) / (totals[1] + 1)) - F.log((F.col("good") + 0.5) / (totals[0] + 1))
-    # A lower bound of the log odds ratio, so that a word met by chance a few times does not count.
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    return rate - 2 * error
+
+
+def _lexicon(words: DataFrame, totals: dict[int, int], support: int, most: int, odds: float) -> dict[str, float]:
+    """Words of (word, bad, good) whose smoothed odds of standing in a toxic text speak for it: the `most` clearest."""
     rows = (
         words.filter(F.col("bad") >= support)
-        .select("word", (rate - 2 * error).alias("weight"))
+        .select("word", _clearly(totals).alias("weight"))
         .filter(F.col("weight") > odds)
         .orderBy(F.col("weight").desc(), "word")
         .limit(most)
@@ -164,6 +211,40 @@ def _lexicon(words: DataFrame, totals: dict[int, int], support: int, most: int,
     return {r["word"]: float(r["weight"]) for r in rows}
 
 
+def _slips(
+    words: DataFrame, terms: dict[str, float], totals: dict[int, int], most: int
+) -> tuple[dict[str, float], frozenset[str]]:
+    """What misspelt terms weigh, and the spellings near them that are words of clean texts: the `most` commonest."""
+    least = CLEAR * max(terms.values(), default=0.0)
+    clear = {t: w for t, w in terms.items() if len(t) >= SHORT and w >= least}
+    if not clear:
+        return {}, frozenset()
+    shared, tag = words.sparkSession.sparkContext.broadcast(clear), uuid4().hex
+
+    @F.arrow_udf("array<string>")
+    def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = once_per_worker(tag, lambda: Lexicon({}, {}, shared.value, swaps=True))
+        for batch in batches:
+            yield pa.array([lexicon.near(word) for word in batch.to_pylist()], pa.list_(pa.string()))
+
+    met = words.filter("good > 0").select("word", "bad", "good", near.asNondeterministic()("word").alias("terms"))
+    met = materialize(met.filter((F.size("terms") > 0) & ~F.col("word").isin(list(terms))), "toxicity-near")
+    # Spellings met again are known; those met once say how often another one comes along.
+    once = met.filter("good = 1").select(F.explode("terms").alias("term"))
+    crowd = once.groupBy("term").agg(F.count("*").alias("n"))
+    crowd = {r["term"]: r["n"] for r in crowd.collect()}
+    uses = {r["word"]: r["bad"] for r in words.filter(F.col("word").isin(list(clear))).select("word", "bad").collect()}
+    slips = {}
+    for term, weight in clear.items():
+        meant, chance = SLIPS * uses[term] / (totals[1] + 1), (crowd.get(term, 0) + 0.5) / (totals[0] + 1)
+        part = min(1.0, len(term) / FULL) * meant / (meant + chance)
+        slips[term] = float(np.log1p(part * np.expm1(weight)))
+    # A spelling of clean texts is a word of its own, unless it speaks for toxic ones itself.
+    own = met.filter(_clearly(totals) <= 1.0)
+    own = own.orderBy(F.col("good").desc(), "word").limit(most).select("word").collect()
+    return slips, frozenset(r["word"] for r in own)
+
+
 def _uses(texts: DataFrame) -> DataFrame:
     """How often each word is used in toxic (bad) and clean (good) texts, counting a use between the same two
     neighbours once: copies of one text say no more than the text."""
@@ -227,7 +308,8 @@ def learn(
     stems = _lexicon(endings, totals, 2 * support, most, odds + 1.0)
     # A longer stem says no more than the shorter one it begins with.
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(min(STEMS), len(s)))}
-    model = Model(terms, stems)
+    slips, clean = _slips(words, terms, totals, most)
+    model = Model(terms, stems, slips=slips, clean=clean)
     found = texts.select("toxic", read(texts.sparkSession, model, F.col("text")).alias("f")).collect()
     _fit(model, np.array([r["f"] for r in found]).reshape(-1, FEATURES), np.array([r["toxic"] for r in found]), seen)
     return model
@@ -235,23 +317,23 @@ def learn(
 
 def _fit(model: Model, features: np.ndarray, toxic: np.ndarray, seen: dict[int, int]) -> None:
     """Logistic regression by Newton steps, weights held to zero or above and shrunk; the bias is set back to the
-    classes' shares among all labels."""
-    ones = np.c_[features, np.ones(len(features))]
-    weight = np.zeros(FEATURES + 1)
-    # What the sample never shows (a quotation, a slip) starts at a modest worth and moves with evidence.
-    prior = np.array([2.0, 1.0, 1.0, 0.5, 0.0])
-    pull = np.array([1.0] * FEATURES + [1e-3])
+    classes' shares among all labels. A slip has no weight of its own: labelled slips are too few to learn one."""
+    ones = np.c_[features[:, 0::2] + DISCOUNT * features[:, 1::2], np.ones(len(features))]
+    # What the sample never shows (a quotation) starts at a modest worth and moves with evidence.
+    prior, pull = np.array([0.8, 0.35, 0.0]), np.array([1.0, 1.0, 1e-3])
+    weight = np.zeros(len(prior))
     for _ in range(50):
         chance = 1 / (1 + np.exp(-np.clip(ones @ weight, -30, 30)))
         slope = ones.T @ (toxic - chance) - pull * (weight - prior)
         curve = (ones * (chance * (1 - chance))[:, None]).T @ ones + np.diag(pull)
         step = np.linalg.solve(curve, slope)
         weight = weight + step / max(1.0, np.abs(step).max())
-        weight[:FEATURES] = np.maximum(weight[:FEATURES], 0.0)
+        weight[:-1] = np.maximum(weight[:-1], 0.0)
         if np.abs(step).max() < 1e-6:
             break
     kept = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
-    model.weights = weight[:FEATURES].tolist()
+    plain, quoted = weight[:-1].tolist()
+    model.weights = [plain, DISCOUNT * plain, quoted, DISCOUNT * quoted]
     model.bias = float(weight[-1] + np.log(seen[1] / kept[1]) - np.log(seen[0] / kept[0]))
 
 
