@@ -9,8 +9,11 @@ A misspelt term counts as a fixed part of what the term counts, and only near te
 with the term's shortness and with how often unknown words one edit away stand in clean texts; a spelling that itself
 stands there is no slip. The odds of a window's hits add up.
 
-A hit counts in the window of words around it. What stands between quotation marks, or in a window that
-speaks of words rather than to somebody, counts apart from abuse; how much each is worth is learnt.
+A hit counts in the window of words around it, and apart from abuse where it is quoted or spoken about. It is quoted if
+in its window the nearest mark before it opens and the nearest one after it closes, for double and for single marks alone;
+one unpaired mark does nothing. It is spoken about if the words of its sentence in its window speak of words (saying,
+naming, reporting) rather than to somebody. What those words are starts from a short list and moves with the labels: near
+the uses of one and the same term, which words stand more often in toxic texts than in clean ones, and which less.
 """
 
 from __future__ import annotations
@@ -35,7 +38,19 @@ SLIPS = 0.05  # the part of a term's uses that is thought misspelt
 CLEAR = 0.75  # of the clearest term's weight: from there on misspelt terms count
 DISCOUNT = 0.9  # what a slip counts of the same evidence spelt right
 WORDS = regex.compile(r"\p{L}[\p{L}\p{N}]*")
-QUOTES = regex.compile(r"[\"“”„«»]")
+MARKS = [regex.compile(r"[\"“”„‟«»]"), regex.compile(r"['‘’‚‛‹›]")]  # double and single
+OPENS, CLOSES, LONE = 1, 2, 3  # what a mark does; a lone one the one or the other in turn
+ENDS = regex.compile(r"[.!?…][\p{Pe}\p{Pf}\p{Pi}\"'*]*$")
+# Words spoken to somebody count for abuse, words of saying, naming and reporting against it.
+ADDRESS = """you your yours yourself you're you'll youre du dich dir dein deine deiner deinem deinen ihr euch euer eure
+tu toi te ton ta tes vous votre vos tú ti eres tus usted ustedes vosotros""".split()
+SAYING = """word words term terms insult insults slur slurs said says saying called calling named wrote
+written quote quoted quotes quotation reported report reports shouted phrase expression means meaning
+wort wörter begriff beleidigung sagte sagt sagen gesagt nannte nennt genannt schrieb schreibt geschrieben zitat zitiert bedeutet
+mot mots terme insulte dit disait appelé appelle nommé écrit écrivait cité citation signifie
+palabra palabras término insulto dijo dice llamó llama llamado escribió escribe cita significa""".split()
+SAID = -0.5  # from this sum of the words around down, a hit is spoken about
+HELD = 4.0  # uses that the short list's worth stands for
 STEMS = range(4, 9)  # letters of a stem
 FEATURES = 4
 
@@ -130,6 +145,26 @@ class Lexicon:
         return sorted({self.words[node] for node, edits in state if edits == 1 and node in self.words})
 
 
+def prior_context() -> dict[str, float]:
+    return {**dict.fromkeys(ADDRESS, 1.0), **dict.fromkeys(SAYING, -1.0)}
+
+
+def marks(chunk: str, kind: int) -> tuple[int, int]:
+    """What the first and the last quotation mark of a kind do in a chunk between white space; 0 if there is none."""
+    done = []
+    for found in MARKS[kind].finditer(chunk):
+        before, after = chunk[: found.start()], chunk[found.end() :]
+        if before[-1:].isalnum() and after[:1].isalnum():
+            continue  # an apostrophe
+        if any(map(str.isalnum, before)) and not after[:1].isalnum():
+            done.append(CLOSES)
+        elif any(map(str.isalnum, after)):
+            done.append(OPENS)
+        else:
+            done.append(LONE)
+    return (done[0], done[-1]) if done else (0, 0)
+
+
 @dataclass
 class Model:
     terms: dict[str, float]
@@ -138,6 +173,7 @@ class Model:
     bias: float = 0.0
     slips: dict[str, float] | None = None  # weights of misspelt terms
     clean: frozenset[str] = frozenset()  # spellings near terms that are words of clean texts
+    context: dict[str, float] = field(default_factory=lambda: prior_context())  # words near a hit: for abuse, or against it
 
 
 class Reader:
@@ -145,24 +181,33 @@ class Reader:
 
     def __init__(self, model: Model):
         self.lexicon = Lexicon(model.terms, model.stems, model.slips, swaps=True)
-        self.clean = model.clean
+        self.clean, self.context = model.clean, model.context
         self.words = Remembered(self.look_all)
 
-    def look(self, chunk: str) -> tuple[float, float, int]:
-        """Exact and misspelt evidence (odds) of a chunk between white space, and its quotation marks."""
-        exact = slip = 0.0
+    def look(self, chunk: str) -> tuple[float, float, int, float, bool]:
+        """Exact and misspelt evidence (odds) of a chunk between white space, its quotation marks, what its words say of the
+        hits around, and whether it ends a sentence."""
+        exact = slip = around = 0.0
         lowered = chunk.lower()
         found = WORDS.findall(lowered)
-        bare = lowered.strip(".,;:!?()[]{}'\"“”„«»…-")
+        for word in found:
+            around += self.context.get(word, 0.0)
+        bare = lowered.strip(".,;:!?()[]{}'\"“”„«»‘’‚‹›…-")
         if len(found) != 1 or found[0] != bare:
             found.append(bare)  # a sign in place of a letter
         for word in found:
             a, b = self.lexicon.match(word)
             exact, slip = exact + np.expm1(a), slip + (0.0 if word in self.clean else np.expm1(b))
-        return exact, 0.0 if exact else slip, len(QUOTES.findall(chunk)) if not chunk.isalnum() else 0
+        signs, ends = 0, False
+        if not chunk.isalnum():
+            for kind in (0, 1):
+                first, last = marks(chunk, kind)
+                signs += (first + 4 * last) << (4 * kind)
+            ends = ENDS.search(chunk) is not None
+        return exact, 0.0 if exact else slip, signs, around, ends
 
     def look_all(self, chunks: list[str]) -> np.ndarray:
-        return np.array([self.look(c) for c in chunks], dtype=np.float32).reshape(len(chunks), 3)
+        return np.array([self.look(c) for c in chunks], dtype=np.float32).reshape(len(chunks), 5)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         chunks = [text.split() if text else [] for text in texts]
@@ -176,20 +221,67 @@ class Reader:
 
     @staticmethod
     def worst(looked: np.ndarray) -> np.ndarray:
-        """The largest sum in a window, for exact and misspelt hits in plain speech and in quotation."""
+        """The largest odds in a window, for exact and misspelt hits in plain speech and in quotation or mention."""
+        looked = looked.astype(np.float64)
         hits = np.flatnonzero(looked[:, :2].sum(axis=1))
-        # Inside a quotation an odd number of marks lies before the word, or the word itself bears one.
-        before = np.cumsum(looked[:, 2]) - looked[:, 2]
-        quoted = (before[hits] % 2 == 1) | (looked[hits, 2] > 0)
+        said = Reader.said(looked, hits)
         out = np.zeros(FEATURES)
         for kind in (0, 1):
-            for said in (0, 1):
-                weight = np.where(quoted == bool(said), looked[hits, kind].astype(np.float64), 0.0)
+            for apart in (0, 1):
+                weight = np.where(said == bool(apart), looked[hits, kind], 0.0)
                 sums = np.concatenate([[0.0], np.cumsum(weight)])
                 ends = np.searchsorted(hits, hits + 2 * WINDOW, side="right")
-                out[2 * said + kind] = np.log1p((sums[ends] - sums[:-1]).max())
+                out[2 * apart + kind] = np.log1p(max(0.0, (sums[ends] - sums[:-1]).max()))
         return out
 
+    @staticmethod
+    def said(looked: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Which hits are quoted or spoken about, by what stands in the window of each."""
+        signs = looked[:, 2].astype(np.int64)
+        around = np.concatenate([[0.0], np.cumsum(looked[:, 3])])
+        stops = np.flatnonzero(looked[:, 4])
+        marked = [np.flatnonzero(signs >> (4 * kind) & 15) for kind in (0, 1)]
+        out = np.zeros(len(hits), dtype=bool)
+        for n, at in enumerate(hits.tolist()):
+            low, high = max(0, at - WINDOW), min(len(looked), at + WINDOW + 1)
+            # The hit's sentence within the window.
+            stop = np.searchsorted(stops, at)
+            begin = max(low, int(stops[stop - 1]) + 1) if stop else low
+            end = min(high, int(stops[stop]) + 1) if stop < len(stops) else high
+            near = around[end] - around[begin] - looked[at, 3]
+            for kind in (0, 1):
+                inside = quotation(marked[kind], signs >> (4 * kind) & 15, low, high, at) if len(marked[kind]) else None
+                if inside:
+                    # What is said inside a quotation is not said to whom one reads; what is said around it may be.
+                    first, last = max(begin, inside[0]), min(end, inside[1] + 1)
+                    outside = around[end] - around[begin] - (around[max(first, last)] - around[first])
+                    out[n] |= outside < -SAID
+                    near = min(near, outside)
+            out[n] |= near <= SAID
+        return out
+
+
+def quotation(marked: np.ndarray, signs: np.ndarray, low: int, high: int, at: int) -> tuple[int, int] | None:
+    """The places of the marks around place `at` in low..high, if the nearest before opens and the nearest after closes.
+
+    `signs` holds, per place, what its first mark does plus four times what its last one does.
+    """
+    before = marked[np.searchsorted(marked, low) : np.searchsorted(marked, at)]
+    own, opened = int(signs[at]), None
+    if own and OPENS in (own & 3, own >> 2):
+        opened = at
+    elif own and own & 3 == CLOSES == own >> 2 or not own:
+        if len(before):
+            last = int(signs[before[-1]]) >> 2
+            lone = sum(int(signs[i]) >> 2 == LONE for i in before)
+            opened = int(before[-1]) if last == OPENS or (last == LONE and lone % 2) else None
+    if opened is None:
+        return None
+    if own and CLOSES in (own & 3, own >> 2):
+        return opened, at
+    after = marked[np.searchsorted(marked, at, side="right") : np.searchsorted(marked, high)]
+    return (opened, int(after[0])) if len(after) and int(signs[after[0]]) & 3 in (CLOSES, LONE) else None
+
 
 def _clearly(totals: dict[int, int]) -> Column:
     """A lower bound of a word's log odds ratio, so that a word met by chance a few times does not count."""
@@ -245,6 +337,39 @@ def _slips(
     return slips, frozenset(r["word"] for r in own)
 
 
+def _context(texts: DataFrame, terms: dict[str, float], most: int) -> dict[str, float]:
+    """What words within WINDOW of a term speak for: above zero for abuse, below for saying.
+
+    Uses of each term are compared with other uses of the same term only (Peto's odds ratio over terms), so neither the
+    terms themselves nor a language rich in them teaches anything. Copies of a window count once. Of the short
+    list every word moves; of all other words the `most` that differ clearly are taken.
+    """
+    held = prior_context()
+    if not terms:
+        return held
+    found = texts.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{N}]*"), 0).alias("w"))
+    places = F.filter(
+        F.transform("w", lambda word, i: F.struct(word.alias("term"), i.alias("at"))), lambda p: p["term"].isin(list(terms))
+    )
+    begin = F.greatest(F.lit(1), F.col("p.at") + 1 - WINDOW)
+    near = F.array_remove(F.array_distinct(F.slice("w", begin, F.col("p.at") + 2 + WINDOW - begin)), F.col("p.term"))
+    uses = found.select("toxic", "w", F.explode(places).alias("p"))
+    uses = materialize(uses.select("toxic", F.col("p.term").alias("term"), near.alias("near")).distinct(), "toxicity-context")
+    rates = uses.groupBy("term").agg(F.avg("toxic").alias("rate"))
+    words = (
+        uses.join(F.broadcast(rates), "term")
+        .filter((F.col("rate") > 0) & (F.col("rate") < 1))
+        .select(F.explode("near").alias("word"), (F.col("toxic") - F.col("rate")).alias("more"), "rate")
+        .groupBy("word")
+        .agg(F.sum("more").alias("more"), F.sum(F.col("rate") * (1 - F.col("rate"))).alias("spread"))
+    )
+    worth = F.col("more") / (F.col("spread") + HELD)
+    clear = F.abs(worth) > 4 / F.sqrt(F.col("spread") + HELD)
+    listed = F.col("word").isin(list(held))
+    rows = words.filter(clear | listed).orderBy(listed.desc(), F.abs(worth).desc(), "word").limit(most + len(held)).collect()
+    return held | {r["word"]: float((r["more"] + HELD * held.get(r["word"], 0.0)) / (r["spread"] + HELD)) for r in rows}
+
+
 def _uses(texts: DataFrame) -> DataFrame:
     """How often each word is used in toxic (bad) and clean (good) texts, counting a use between the same two
     neighbours once: copies of one text say no more than the text."""
@@ -309,7 +434,7 @@ def learn(
     # A longer stem says no more than the shorter one it begins with.
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(min(STEMS), len(s)))}
     slips, clean = _slips(words, terms, totals, most)
-    model = Model(terms, stems, slips=slips, clean=clean)
+    model = Model(terms, stems, slips=slips, clean=clean, context=_context(texts, terms, most))
     found = texts.select("toxic", read(texts.sparkSession, model, F.col("text")).alias("f")).collect()
     _fit(model, np.array([r["f"] for r in found]).reshape(-1, FEATURES), np.array([r["toxic"] for r in found]), seen)
     return model
@@ -338,7 +463,7 @@ def _fit(model: Model, features: np.ndarray, toxic: np.ndarray, seen: dict[int,
 
 
 def read(spark: SparkSession, model: Model, text: Column) -> Column:
-    """array<double> of a text's features: the worst window's evidence (plain exact, plain misspelt, quoted exact, quoted
+    """array<double> of a text's features: the worst window's evidence (plain exact, plain misspelt, quoted or spoken about exact, quoted or spoken about
     misspelt). A null or empty text has zeros."""
     shared, tag = spark.sparkContext.broadcast(model), uuid4().hex
 
