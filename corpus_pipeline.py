@@ -23,8 +23,6 @@ from prumo.llm.toxicity import learn as learn_toxicity
 from prumo.llm.toxicity import score
 from prumo.session import materialize, prepare
 
-# Below this a text is in none of the languages learnt: four even ones would have 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
 MOST_TOXIC = 0.3
 
 
@@ -40,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = small_batches(docs)
     model = learn_languages(docs.filter(_remainder(5) != 0))
     judged = docs.select(row_of(docs).alias("row"), predict(spark, model, F.col("text")).alias("p"))
-    kept = judged.filter((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= LEAST_LANGUAGE_SCORE))
+    kept = judged.filter((F.col("p.lang") != UNKNOWN) & F.col("p.within"))
     columns = [F.coalesce("row.lang", "p.lang").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns]
     return kept.select(*columns)
 

@@ -4,6 +4,9 @@ A model holds, per language, the log frequency of the commonest words and of the
 n-grams of words (marked at both ends). A known word speaks by its frequency; for any other the longest n for
 which one of its n-grams is known does. Each word gives every language the logarithm of its part in the
 word's likelihood; a text is the sum over its words.
+
+That only compares the languages learnt. Whether a text is in the one it is given is judged against what unknown
+text gets, however many languages there are: by the average log frequency of its three-letter runs.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ UNKNOWN = "und"
 LONGEST = 5
 SMOOTHING = 0.5
 LEAST = -6.0  # what one word can say against a language
+BACKED = 3  # letters of the runs that tell a language from unknown text
+STRAY = 0.4  # how far towards unknown text a text of the language may lie
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -37,6 +42,8 @@ class Model:
     languages: list[str]
     rows: dict[str, int]
     table: np.ndarray
+    # Per language: the usual log frequency of a run of its texts, its spread, that of an unknown run, and of an unknown word.
+    usual: np.ndarray
 
 
 def learn(
@@ -92,13 +99,29 @@ def learn(
     )
     table = np.array([[by.get(lang, 0) for lang in languages] for by in best["by"]], dtype=np.float64)
     table = table.reshape(len(best), len(languages))
+    usual = np.zeros((4, len(languages)))
     for k in range(LONGEST + 1):
         here = (best["size"] == k).to_numpy()
         part = totals[totals["size"] == k].set_index("lang")["n"]
         whole = np.array([part.get(lang, 0) for lang in languages], dtype=np.float64)
+        unknown = np.log(SMOOTHING / (whole + SMOOTHING * max(1, here.sum())))
+        if k == 0:
+            usual[3] = unknown
+        if k == BACKED:
+            usual[:3] = _usual(table[here], whole, unknown)
         table[here] = np.log((table[here] + SMOOTHING) / (whole + SMOOTHING * max(1, here.sum())))
     names = [gram if k == 0 else f"{k}{gram}" for k, gram in zip(best["size"], best["gram"])]
-    return Model(languages, dict(zip(names, range(len(names)))), table.astype(np.float32))
+    return Model(languages, dict(zip(names, range(len(names)))), table.astype(np.float32), usual)
+
+
+def _usual(counts: np.ndarray, whole: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Mean and spread of the log frequency of a language's runs, each use judged without itself, and that of an unknown
+    run. Runs that were not kept are unknown."""
+    others = unknown + np.log((np.maximum(counts - 1, 0) + SMOOTHING) / SMOOTHING)
+    lost, uses = whole - counts.sum(axis=0), np.maximum(whole, 1)
+    mean = ((counts * others).sum(axis=0) + lost * unknown) / uses
+    spread = np.sqrt(((counts * (others - mean) ** 2).sum(axis=0) + lost * (unknown - mean) ** 2) / uses)
+    return np.array([mean, spread, unknown])
 
 
 class Judge:
@@ -120,16 +143,35 @@ class Judge:
                 return found
         return []
 
+    def backing(self, word: str) -> tuple[np.ndarray, int]:
+        """The log frequencies of a word's runs in each language, summed, and how many they are. In a language that
+        knows the word they are no less than usual."""
+        marked = f"^{word}$"
+        usual, _, unknown, unknown_word = self.model.usual
+        runs = [marked[i : i + BACKED] for i in range(len(marked) - BACKED + 1)]
+        rows = [self.model.rows[f"{BACKED}{r}"] for r in runs if f"{BACKED}{r}" in self.model.rows]
+        total = self.model.table[rows].sum(axis=0, dtype=np.float64) + (len(runs) - len(rows)) * unknown
+        own = self.model.rows.get(word)
+        if own is not None:
+            known = self.model.table[own] > unknown_word + 1e-3
+            total = np.where(known, np.maximum(total, len(runs) * usual), total)
+        return total, len(runs)
+
     def say_all(self, chunks: list[str]) -> np.ndarray:
-        """What the words of each chunk between white space say for each language, and how many they are."""
+        """What the words of each chunk between white space say for each language, the log frequencies of their runs in
+        each, and how many words and runs they are."""
         lines, per_word, per_chunk = [], [], []
-        for chunk in chunks:
+        backed = np.zeros((len(chunks), len(self.model.languages) + 1))
+        for n, chunk in enumerate(chunks):
             words = [chunk.lower()] if chunk.isalpha() else LETTERS.findall(chunk.lower())
             per_chunk.append(len(words))
             for word in words:
                 found = self.grams(word)
                 per_word.append(len(found))
                 lines.extend(found)
+                total, runs = self.backing(word)
+                backed[n, :-1] += total
+                backed[n, -1] += runs
         width = len(self.model.languages)
         seen = sums_per_list(self.model.table[np.array(lines, dtype=np.int64)], per_word)
         seen /= np.maximum(np.array(per_word, dtype=np.int64), 1)[:, None]
@@ -138,38 +180,45 @@ class Judge:
             seen -= np.log(np.exp(seen).sum(axis=1, keepdims=True))
         said = np.where(np.array(per_word, dtype=np.int64)[:, None] > 0, np.maximum(seen, LEAST), 0.0)
         out = sums_per_list(said, per_chunk)
-        return np.c_[out, per_chunk].astype(np.float32)
+        return np.c_[out, backed, per_chunk].astype(np.float32)
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and whether the text is in that language rather than in none learnt."""
         chunks = [text.split() if text else [] for text in texts]
-        width = len(self.model.languages) + 1
+        width = len(self.model.languages)
         said = sums_per_list(self.words.of(chunks), list(map(len, chunks)))
-        count, score = said[:, -1], np.zeros(len(texts))
+        count, score, within = said[:, -1], np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         names = [UNKNOWN] * len(texts)
-        if width > 1:
+        if width:
             # Words of one text are no independent witnesses: their sum counts as that of the root of their number.
-            weighed = said[:, :-1] / np.sqrt(np.maximum(count, 1))[:, None]
+            weighed = said[:, :width] / np.sqrt(np.maximum(count, 1))[:, None]
             parts = np.exp(weighed - weighed.max(axis=1, keepdims=True))
             best = parts.argmax(axis=1)
             score = np.where(count > 0, 1 / parts.sum(axis=1), 0.0)
             names = [self.model.languages[b] if n > 0 else UNKNOWN for b, n in zip(best, count)]
-        return names, score
+            # The fewer its runs, the further a text may lie from what is usual.
+            runs = np.maximum(said[:, -2], 1)
+            usual, spread, unknown, _ = self.model.usual[:, best]
+            least = usual - STRAY * (usual - unknown) - spread / np.sqrt(runs)
+            within = (count > 0) & (said[np.arange(len(texts)), width + best] / runs >= least)
+        return names, score, within
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct<lang, score> of a text by its words alone.
+    """struct<lang, score, within> of a text by its words alone; `within` tells whether it is in that language at all.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text if the model has no
+    A null text, or one without a letter, is `und` with score 0 and not within; so is every text if the model has no
     languages. Equal scores go to the first language by code point. Texts of any length are read whole.
     """
     shared, tag = spark.sparkContext.broadcast(model), uuid4().hex
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, within: boolean>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = once_per_worker(tag, lambda: Judge(shared.value))
         for texts in batches:
-            names, score = judge.judge(texts.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang", "score"])
+            names, score, within = judge.judge(texts.to_pylist())
+            columns = [pa.array(names, pa.string()), pa.array(score), pa.array(within)]
+            yield pa.StructArray.from_arrays(columns, ["lang", "score", "within"])
 
     # Not to be worked out again for a filter on its result.
     return predicted.asNondeterministic()(text)
