@@ -27,7 +27,7 @@ from prumo.llm.common import once_per_worker
 NONE = np.int32(2**30)  # rank of a pair that is not in the vocabulary
 WIDEST = 64  # bytes of the longest piece merged in a matrix
 ROWS = 8_192  # pieces per matrix
-REMEMBERED = 80_000  # pieces whose ids a worker keeps
+REMEMBERED = 400_000  # pieces whose ids a worker keeps
 
 
 class Vocabulary:
@@ -203,6 +203,11 @@ class Encoder:
         offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
 
+    def decode(self, lists: pa.Array) -> pa.Array:
+        token = self.vocabulary.tokens.__getitem__
+        ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+        return pa.array([b"".join(map(token, ids[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())
+
 
 class ByteBPE:
     """Column functions that encode and decode by the rank file at `path` (base64 token and rank per line).
@@ -236,9 +241,24 @@ class ByteBPE:
         @F.arrow_udf("binary")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = once_per_worker(tag, lambda: Encoder(shared.value, pattern))
-            token = encoder.vocabulary.tokens.__getitem__
             for lists in batches:
-                ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
-                yield pa.array([b"".join(map(token, ids[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())
+                yield encoder.decode(lists)
 
         return decoded(ids)
+
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids: array<int>, bytes: binary>: the ids of a text as `encode` gives them, and what `decode` makes of those ids.
+
+        Both in one worker, which holds the vocabulary once.
+        """
+        shared, pattern, tag = self.shared, self.pattern, self.tag
+
+        @F.arrow_udf("struct<ids: array<int>, bytes: binary>")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = once_per_worker(tag, lambda: Encoder(shared.value, pattern))
+            for texts in batches:
+                ids = encoder.encode(texts.to_pylist())
+                yield pa.StructArray.from_arrays([ids, encoder.decode(ids)], ["ids", "bytes"])
+
+        # Not to be worked out once for each of its fields.
+        return both.asNondeterministic()(text)

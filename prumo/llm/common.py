@@ -64,16 +64,18 @@ def numbered_ranges(df: DataFrame, order: Sequence[str], totals: Iterable[str] =
 
 
 def sampled(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """About `most` rows of each value of column `by` at the most, chosen by a hash of column `key`: the bounded
-    sample a classifier is fitted on. Adds `_share`, the part of the value's rows that was kept.
+    """About `most` rows of each value of column `by` at the most, chosen by a hash of column `key` and of the row's place in
+    the table, so that rows with one key are chosen one by one: the bounded sample a classifier is fitted on. Adds
+    `_share`, the part of the value's rows that was kept.
 
     The values are the classes of the model, of which it holds a column each on the driver; their shares go to
     every task, so that rows are not shuffled by a handful of values.
     """
     counts = df.groupBy(by).agg(F.count("*").alias("_rows"))
     shares = counts.select(by, F.least(F.lit(1.0), F.lit(float(most)) / F.col("_rows")).alias("_share"))
-    at = F.pmod(F.xxhash64(named(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.join(F.broadcast(shares), by).filter(at < F.col("_share"))
+    number = F.pmod(F.xxhash64(named(key).cast("string"), F.monotonically_increasing_id(), F.lit("sample")), F.lit(1 << 30))
+    placed = df.withColumn("_at", number / F.lit(float(1 << 30)))
+    return placed.join(F.broadcast(shares), by).filter(F.col("_at") < F.col("_share")).drop("_at")
 
 
 class Remembered:

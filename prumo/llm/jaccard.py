@@ -235,8 +235,8 @@ def near_duplicates(
     Words are runs of characters other than ASCII white space, A-Z taken as a-z. A text with fewer than `words`
     words is one n-gram; a null, empty or blank text has none and links with nothing, so its component is its own
     id. Rows with one id count as one document: they share their links and their component. A null id cannot name a
-    component; such a row still gets the component of equal or linked texts, else null. Only the two named columns are
-    read. An empty table gives an empty result.
+    component: such a row gets the component of an equal text that has an id, else null, and links with nothing else. Give rows a
+    number as their id where null ids are documents. Only the two named columns are read. An empty table gives an empty result.
     """
     docs = small_batches(docs)
     texts = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))

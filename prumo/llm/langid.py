@@ -124,12 +124,25 @@ def _usual(counts: np.ndarray, whole: np.ndarray, unknown: np.ndarray) -> np.nda
     return np.array([mean, spread, unknown])
 
 
+def run_keys(letters: list[np.ndarray]) -> np.ndarray:
+    """One number for each run of BACKED letters, given as their first ones, second ones, …"""
+    keys = np.zeros_like(letters[0])
+    for column in letters:
+        keys = keys << 21 | column
+    return keys
+
+
 class Judge:
-    """Applies a model to texts."""
+    """Applies a model to texts; where `within` is asked for, judges them against unknown text, too."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, within: bool = False):
+        self.model, self.within = model, within
         self.words = Remembered(self.say_all)
+        runs = {g[1:]: row for g, row in model.rows.items() if g[0] == str(BACKED)} if within else {}
+        letters = np.frombuffer("".join(runs).encode("utf-32-le"), dtype="<u4").astype(np.int64).reshape(len(runs), BACKED)
+        keys, rows = run_keys(list(letters.T)), np.fromiter(runs.values(), dtype=np.int64, count=len(runs))
+        order = np.argsort(keys)
+        self.run_keys, self.run_rows = keys[order], rows[order]
 
     def grams(self, word: str) -> list[int]:
         """The lines of the model that speak for a word: its own, or those of its longest known n-grams."""
@@ -143,35 +156,40 @@ class Judge:
                 return found
         return []
 
-    def backing(self, word: str) -> tuple[np.ndarray, int]:
-        """The log frequencies of a word's runs in each language, summed, and how many they are. In a language that
+    def backing(self, words: list[str]) -> np.ndarray:
+        """For each word the log frequencies of its runs in each language, summed, and how many they are. In a language that
         knows the word they are no less than usual."""
-        marked = f"^{word}$"
         usual, _, unknown, unknown_word = self.model.usual
-        runs = [marked[i : i + BACKED] for i in range(len(marked) - BACKED + 1)]
-        rows = [self.model.rows[f"{BACKED}{r}"] for r in runs if f"{BACKED}{r}" in self.model.rows]
-        total = self.model.table[rows].sum(axis=0, dtype=np.float64) + (len(runs) - len(rows)) * unknown
-        own = self.model.rows.get(word)
-        if own is not None:
-            known = self.model.table[own] > unknown_word + 1e-3
-            total = np.where(known, np.maximum(total, len(runs) * usual), total)
-        return total, len(runs)
+        letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+        first = np.ones(len(letters), dtype=bool)  # where a run begins that ends in the same word
+        for back in range(1, BACKED):
+            first[np.cumsum(sizes) - back] = False
+        at = np.flatnonzero(first)
+        keys = run_keys([letters[at + k] for k in range(BACKED)])
+        place = np.minimum(np.searchsorted(self.run_keys, keys), max(0, len(self.run_keys) - 1))
+        found = self.run_keys[place] == keys if len(self.run_keys) else np.zeros(len(keys), dtype=bool)
+        said = np.broadcast_to(unknown, (len(keys), len(unknown))).copy()
+        said[found] = self.model.table[self.run_rows[place[found]]]
+        runs = sizes - BACKED + 1
+        total = sums_per_list(said, runs)
+        own = np.fromiter((self.model.rows.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        known = (own >= 0)[:, None] & (self.model.table[own] > unknown_word + 1e-3) if len(self.model.table) else False
+        total = np.where(known, np.maximum(total, runs[:, None] * usual), total)
+        return np.c_[total, runs]
 
     def say_all(self, chunks: list[str]) -> np.ndarray:
-        """What the words of each chunk between white space say for each language, the log frequencies of their runs in
-        each, and how many words and runs they are."""
-        lines, per_word, per_chunk = [], [], []
-        backed = np.zeros((len(chunks), len(self.model.languages) + 1))
-        for n, chunk in enumerate(chunks):
+        """What the words of each chunk between white space say for each language, where asked for the log frequencies of their
+        runs in each and their number, and how many words they are."""
+        lines, per_word, per_chunk, everything = [], [], [], []
+        for chunk in chunks:
             words = [chunk.lower()] if chunk.isalpha() else LETTERS.findall(chunk.lower())
             per_chunk.append(len(words))
+            everything.extend(words)
             for word in words:
                 found = self.grams(word)
                 per_word.append(len(found))
                 lines.extend(found)
-                total, runs = self.backing(word)
-                backed[n, :-1] += total
-                backed[n, -1] += runs
         width = len(self.model.languages)
         seen = sums_per_list(self.model.table[np.array(lines, dtype=np.int64)], per_word)
         seen /= np.maximum(np.array(per_word, dtype=np.int64), 1)[:, None]
@@ -180,6 +198,7 @@ class Judge:
             seen -= np.log(np.exp(seen).sum(axis=1, keepdims=True))
         said = np.where(np.array(per_word, dtype=np.int64)[:, None] > 0, np.maximum(seen, LEAST), 0.0)
         out = sums_per_list(said, per_chunk)
+        backed = sums_per_list(self.backing(everything), per_chunk) if self.within else np.zeros((len(chunks), 0))
         return np.c_[out, backed, per_chunk].astype(np.float32)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -196,6 +215,7 @@ class Judge:
             best = parts.argmax(axis=1)
             score = np.where(count > 0, 1 / parts.sum(axis=1), 0.0)
             names = [self.model.languages[b] if n > 0 else UNKNOWN for b, n in zip(best, count)]
+        if width and self.within:
             # The fewer its runs, the further a text may lie from what is usual.
             runs = np.maximum(said[:, -2], 1)
             usual, spread, unknown, _ = self.model.usual[:, best]
@@ -204,21 +224,22 @@ class Judge:
         return names, score, within
 
 
-def predict(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct<lang, score, within> of a text by its words alone; `within` tells whether it is in that language at all.
+def predict(spark: SparkSession, model: Model, text: Column, within: bool = False) -> Column:
+    """struct<lang, score> of a text by its words alone; asked for, a third field `within` tells whether it is in that language at all.
 
     A null text, or one without a letter, is `und` with score 0 and not within; so is every text if the model has no
     languages. Equal scores go to the first language by code point. Texts of any length are read whole.
     """
     shared, tag = spark.sparkContext.broadcast(model), uuid4().hex
+    fields = ["lang", "score", "within"][: 3 if within else 2]
 
-    @F.arrow_udf("struct<lang: string, score: double, within: boolean>")
+    @F.arrow_udf("struct<lang: string, score: double" + (", within: boolean>" if within else ">"))
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        judge = once_per_worker(tag, lambda: Judge(shared.value))
+        judge = once_per_worker(tag, lambda: Judge(shared.value, within))
         for texts in batches:
-            names, score, within = judge.judge(texts.to_pylist())
-            columns = [pa.array(names, pa.string()), pa.array(score), pa.array(within)]
-            yield pa.StructArray.from_arrays(columns, ["lang", "score", "within"])
+            names, score, inside = judge.judge(texts.to_pylist())
+            columns = [pa.array(names, pa.string()), pa.array(score), pa.array(inside)]
+            yield pa.StructArray.from_arrays(columns[: len(fields)], fields)
 
     # Not to be worked out again for a filter on its result.
     return predicted.asNondeterministic()(text)

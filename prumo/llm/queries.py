@@ -91,8 +91,7 @@ def op1_byte_bpe(table) -> DataFrame:
 
     docs = small_batches(table("documents").select("doc_id", "text"))
     bpe = ByteBPE(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("bytes")).select(
+    return docs.select("doc_id", bpe.round_trip(F.col("text")).alias("b")).select("doc_id", "b.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -184,30 +184,39 @@ class Reader:
         self.clean, self.context = model.clean, model.context
         self.words = Remembered(self.look_all)
 
-    def look(self, chunk: str) -> tuple[float, float, int, float, bool]:
-        """Exact and misspelt evidence (odds) of a chunk between white space, its quotation marks, what its words say of the
-        hits around, and whether it ends a sentence."""
-        exact = slip = around = 0.0
+    def look(self, chunk: str) -> tuple[float, float]:
+        """Exact and misspelt evidence (odds) of a chunk between white space."""
+        exact = slip = 0.0
         lowered = chunk.lower()
         found = WORDS.findall(lowered)
-        for word in found:
-            around += self.context.get(word, 0.0)
         bare = lowered.strip(".,;:!?()[]{}'\"“”„«»‘’‚‹›…-")
         if len(found) != 1 or found[0] != bare:
             found.append(bare)  # a sign in place of a letter
         for word in found:
             a, b = self.lexicon.match(word)
             exact, slip = exact + np.expm1(a), slip + (0.0 if word in self.clean else np.expm1(b))
-        signs, ends = 0, False
-        if not chunk.isalnum():
-            for kind in (0, 1):
-                first, last = marks(chunk, kind)
-                signs += (first + 4 * last) << (4 * kind)
-            ends = ENDS.search(chunk) is not None
-        return exact, 0.0 if exact else slip, signs, around, ends
+        return exact, 0.0 if exact else slip
 
     def look_all(self, chunks: list[str]) -> np.ndarray:
-        return np.array([self.look(c) for c in chunks], dtype=np.float32).reshape(len(chunks), 5)
+        return np.array([self.look(c) for c in chunks], dtype=np.float32).reshape(len(chunks), 2)
+
+    def beside(self, chunks: list[str], hits: np.ndarray) -> np.ndarray:
+        """Of the chunks within WINDOW of a hit: their quotation marks, what their words say of the hits around, and whether they
+        end a sentence. The rest of a text is not looked at for this."""
+        out = np.zeros((len(chunks), 3))
+        edge = np.zeros(len(chunks) + 1, dtype=np.int64)
+        np.add.at(edge, np.maximum(0, hits - WINDOW), 1)
+        np.add.at(edge, np.minimum(len(chunks), hits + WINDOW + 1), -1)
+        for n in np.flatnonzero(np.cumsum(edge[:-1])).tolist():
+            chunk = chunks[n]
+            signs, ends = 0, False
+            if not chunk.isalnum():
+                for kind in (0, 1):
+                    first, last = marks(chunk, kind)
+                    signs += (first + 4 * last) << (4 * kind)
+                ends = ENDS.search(chunk) is not None
+            out[n] = signs, sum(self.context.get(word, 0.0) for word in WORDS.findall(chunk.lower())), ends
+        return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         chunks = [text.split() if text else [] for text in texts]
@@ -215,16 +224,15 @@ class Reader:
         out = np.zeros((len(texts), FEATURES))
         looked = self.words.of(chunks)
         starts = np.cumsum(sizes) - sizes
-        for i in np.flatnonzero(sums_per_list((looked[:, :2].sum(axis=1) > 0)[:, None], sizes)[:, 0]):
-            out[i] = self.worst(looked[starts[i] : starts[i] + sizes[i]])
+        for i in np.flatnonzero(sums_per_list((looked.sum(axis=1) > 0)[:, None], sizes)[:, 0]):
+            mine = looked[starts[i] : starts[i] + sizes[i]].astype(np.float64)
+            hits = np.flatnonzero(mine.sum(axis=1))
+            out[i] = self.worst(mine, hits, self.said(self.beside(chunks[i], hits), hits))
         return out
 
     @staticmethod
-    def worst(looked: np.ndarray) -> np.ndarray:
+    def worst(looked: np.ndarray, hits: np.ndarray, said: np.ndarray) -> np.ndarray:
         """The largest odds in a window, for exact and misspelt hits in plain speech and in quotation or mention."""
-        looked = looked.astype(np.float64)
-        hits = np.flatnonzero(looked[:, :2].sum(axis=1))
-        said = Reader.said(looked, hits)
         out = np.zeros(FEATURES)
         for kind in (0, 1):
             for apart in (0, 1):
@@ -235,20 +243,20 @@ class Reader:
         return out
 
     @staticmethod
-    def said(looked: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    def said(beside: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """Which hits are quoted or spoken about, by what stands in the window of each."""
-        signs = looked[:, 2].astype(np.int64)
-        around = np.concatenate([[0.0], np.cumsum(looked[:, 3])])
-        stops = np.flatnonzero(looked[:, 4])
+        signs = beside[:, 0].astype(np.int64)
+        around = np.concatenate([[0.0], np.cumsum(beside[:, 1])])
+        stops = np.flatnonzero(beside[:, 2])
         marked = [np.flatnonzero(signs >> (4 * kind) & 15) for kind in (0, 1)]
         out = np.zeros(len(hits), dtype=bool)
         for n, at in enumerate(hits.tolist()):
-            low, high = max(0, at - WINDOW), min(len(looked), at + WINDOW + 1)
+            low, high = max(0, at - WINDOW), min(len(beside), at + WINDOW + 1)
             # The hit's sentence within the window.
             stop = np.searchsorted(stops, at)
             begin = max(low, int(stops[stop - 1]) + 1) if stop else low
             end = min(high, int(stops[stop]) + 1) if stop < len(stops) else high
-            near = around[end] - around[begin] - looked[at, 3]
+            near = around[end] - around[begin] - beside[at, 1]
             for kind in (0, 1):
                 inside = quotation(marked[kind], signs >> (4 * kind) & 15, low, high, at) if len(marked[kind]) else None
                 if inside:
@@ -401,7 +409,8 @@ def learn(
 ) -> Model:
     """Learn lexicon and weights from a sample of about `per_class` labelled texts of each class.
 
-    Labels other than 0 and 1 and null texts teach nothing; repeated labels count as often as they come. The
+    Labels other than 0 and 1 and null texts teach nothing; equal labels of one id count once. The sample is drawn by
+    rows, of labels and of their texts, so one id on any number of rows neither leaves it empty nor fills it beyond its bound. The
     lexicon holds at most `most` terms and `most` stems, so the model is bounded. If either class is
     missing, the lexicon is empty and every text gets the share of class 1 as its score.
     """
@@ -411,10 +420,11 @@ def learn(
     if len(seen) < 2:
         share = seen.get(1, 0) / max(1, sum(seen.values()))
         return Model({}, {}, bias=30.0 if share else -30.0)
-    chosen = sampled(labels, "toxic", "id", per_class).select("id", "toxic")
+    chosen = sampled(labels, "toxic", "id", per_class).select("id", "toxic").distinct()
     texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).filter("text IS NOT NULL")
-    # The sample is bounded by per_class, so its ids may go everywhere.
-    texts = materialize(texts.join(F.broadcast(chosen), "id"), "toxicity-sample")
+    # The sample is bounded by per_class, so its ids may go everywhere; texts of one id are sampled once more.
+    texts = materialize(texts.join(F.broadcast(chosen), "id"), "toxicity-labelled")
+    texts = materialize(sampled(texts, "toxic", "id", per_class).select("id", "text", "toxic"), "toxicity-sample")
     words = materialize(_uses(texts), "toxicity-words")
     total = words.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     totals = {1: total["bad"] or 0, 0: total["good"] or 0}

@@ -83,11 +83,19 @@ def test_odd_rows_and_extra_columns(spark, tmp_path):
         out = materialize(stage(spark, docs, str(tmp_path)), name)
         assert out.count() > 0
     near = corpus_pipeline.near_duplicate_groups(spark, docs, str(tmp_path)).collect()
-    assert Counter(r.doc_id for r in near if r.doc_id in (1, 2, 3, 4, None)) == Counter([1, 2, 3, 4, None])
+    assert Counter(r.doc_id for r in near if r.doc_id in (1, 2, 3, 4, None)) == Counter([1, 2, 3, 4])
+
+
+def test_rows_without_or_with_one_id_are_documents(spark):
+    one, two = (" ".join(f"{a}{i}" for i in range(40)) for a in "vw")
+    rows = [(None, one), (None, one + " more"), (None, two), (7, two + " more"), (7, "something else altogether here now"), (7, one + " again")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_groups(spark, docs, FOLDER).collect()]
+    assert sorted(kept) == sorted([rows[3], rows[4], rows[5]])
 
 
 def test_registered():
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -148,3 +148,23 @@ def test_quality_query(spark):
 @pytest.mark.parametrize("name", ["op6_word_first_language", "op9_lexicon_toxicity"])
 def test_one_row_per_document(spark, name):
     assert QUERIES[name](spark, SMALL).count() == 200
+
+
+def test_a_sample_is_drawn_by_rows(spark):
+    """One id on all rows neither empties a class nor takes all of it."""
+    from prumo.llm.common import sampled
+
+    for hot in range(4):
+        df = spark.range(20_000).select(F.lit(hot).alias("id"), (F.col("id") % 2).alias("toxic"))
+        kept = {r.toxic: r["count"] for r in sampled(df, "toxic", "id", 300).groupBy("toxic").count().collect()}
+        assert set(kept) == {0, 1} and all(200 < n < 400 for n in kept.values())
+
+
+def test_toxicity_with_one_id_on_all_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"you idiot number {i}" if i % 2 else f"a calm day {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, i % 2) for i in range(600)] + [(None, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda model, features, *rest: (seen.append(len(features)), fit(model, features, *rest)))
+    toxicity.learn(docs, labels, per_class=50)
+    assert 50 < seen[0] < 150
