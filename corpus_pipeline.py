@@ -37,14 +37,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = small_batches(docs)
     model = learn_languages(docs.filter(_remainder(5) != 0))
-    judged = docs.select(row_of(docs).alias("row"), predict(spark, model, F.col("text")).alias("p"))
+    judged = docs.select(row_of(docs).alias("row"), predict(spark, model, F.col("text"), within=True).alias("p"))
     kept = judged.filter((F.col("p.lang") != UNKNOWN) & F.col("p.within"))
     columns = [F.coalesce("row.lang", "p.lang").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns]
     return kept.select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below MOST_TOXIC, learnt from the labels that op9 does not hold out."""
+    """Documents whose toxicity score is below MOST_TOXIC, learnt from the labels that op9 does not hold out.
+
+    Null and empty texts have the score of a text without hits and stay unless nearly all labels are toxic; equal texts go
+    or stay together; whole texts are read. Null ids and labels of other documents teach nothing.
+    """
     docs = small_batches(docs)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").filter(_remainder(4) != 2)
     model = learn_toxicity(docs, labels)
@@ -53,33 +57,40 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the one of smallest id.
+    """One document of each group linked by five-word shingles at a similarity of 0.8: that of smallest id, nulls last.
 
-    Rows with one id are one document, of which the row with the smallest hash stays. Rows with a null id cannot
-    be linked: of those with equal texts one stays. Blank texts are no copies of one another.
+    Every row is a document of its own, also where its id is null or another row's: of rows with one id, those stay that
+    are in groups of their own; of equal ids in one group the row that comes first. Blank and null texts are no copies of one another.
     """
-    found = near_duplicates(docs, words=5, similarity=Fraction(4, 5))
-    first = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select("doc_id", row_of(docs).alias("row"))
-    kept = kept.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    nameless = docs.filter("doc_id IS NULL").select("text", row_of(docs).alias("row"))
-    nameless = nameless.groupBy("text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    rows = kept.select("row").unionByName(nameless.select("row"))
-    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    # The numbers are written with the rows: made again, they could fall on other rows.
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), row_of(docs).alias("row")), "numbered-documents")
+    found = near_duplicates(rows.select("n", F.col("row.text").alias("text")), words=5, similarity=Fraction(4, 5), id_col="n")
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), "n")
+    placed = found.select(F.col("id").alias("n"), "component").join(rows.select("n", order.alias("order")), "n")
+    first = placed.groupBy("component").agg(F.min("order").alias("order"))
+    kept = rows.join(first.select(F.col("order.n").alias("n")), "n", "left_semi")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1 over 150% of all words: a document taken twice is there twice, and the one at a
-    source's budget ends there."""
+    source's budget ends there.
+
+    A null source is one of its own, the last; null, empty and blank texts have no words, so nothing is taken of them. Equal rows
+    are documents of their own. A text of any length is cut at a word. No documents give no rows.
+    """
     return mixed_documents(mix(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens, digests of the ids and of the bytes they decode to, and whether those are the text."""
+    """doc_id, lang, source, ids, n_tokens, digests of the ids and of the bytes they decode to, and whether those are the text.
+
+    A row per row: null and empty texts have no ids, equal rows equal ones, and whole texts are encoded.
+    """
     docs = small_batches(docs)
     bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text")).alias("ids"))
-    decoded = encoded.withColumn("bytes", bpe.decode(F.col("ids")))
+    coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip(F.col("text")).alias("b"))
+    decoded = coded.select("doc_id", "lang", "source", "text", "b.*")
     return decoded.select(
         "doc_id",
         "lang",
