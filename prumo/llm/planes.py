@@ -18,11 +18,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,11 @@ MANIFEST = "_manifest.json"
 CHUNK = 1 << 16  # ids in a chunk
 BATCH = 1 << 20  # ids in a batch read back, if no single document has more
 LEVEL = 3  # of zstandard
+REMEMBERED = 400_000  # pieces whose ids a worker keeps
+AT_ONCE = 50_000  # pieces given to the library in one call
+# Any character outside these scripts, whose classes have been fixed since early versions of Unicode: Latin, Cyrillic, punctuation,
+# currency, kana, Han and Hangul.
+UNSETTLED = regex.compile("[^\u0000-\u02ff\u0400-\u0481\u048a-\u0513\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3094\u30a1-\u30f6\u4e00-\u9fa5\uac00-\ud7a3]")
 CHUNK_TYPE = np.dtype([("at", "<u8"), ("count", "<u4"), ("bits", "u1"), ("planes", "u1"), ("sizes", "<u4", (32,))])
 DOC_TYPE = np.dtype([("id", "<i8"), ("known", "u1"), ("count", "<u8")])
 
@@ -309,35 +316,91 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenPlanes)
 
 
-def encoded(spark: SparkSession, tokenizer: str, text: Column, end: int | None = None) -> Column:
+class Encoder:
+    """Encodes texts by a tokenizer of the library, remembering the ids of pieces.
+
+    A byte-level tokenizer splits a text by its pattern and encodes each piece on its own, so a piece has the same ids
+    wherever it stands. The library sees each new piece once; a text with characters whose class the library's pattern engine
+    and ours may take differently is given to the library as a whole, as is every text if there is no pattern.
+    """
+
+    def __init__(self, blob: str, pattern: str | None, end: int | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokens = Tokenizer.from_str(blob)
+        tokens.encode_special_tokens = True
+        self.library = tokens.encode_batch_fast
+        self.split = None if pattern is None else regex.compile(pattern).findall
+        self.last = [] if end is None else [end]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def learn(self, pieces: list[str]) -> None:
+        sizes, flat = [self.sizes], [self.flat]
+        for at in range(0, len(pieces), AT_ONCE):
+            ids = [e.ids for e in self.library(pieces[at : at + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype="<u4"))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, and the end's, as little-endian unsigned 32-bit integers."""
+        texts = [text or "" for text in texts]
+        whole = [n for n, text in enumerate(texts) if self.split is None or UNSETTLED.search(text)]
+        found = [[] if self.split is None else self.split(text) for text in texts]
+        for n in whole:
+            found[n] = []
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        self.learn([p for p in set(chain.from_iterable(found)) if p not in self.known])
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        size, starts = self.sizes[pieces], (np.cumsum(self.sizes) - self.sizes)[pieces]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.concatenate([[0], np.cumsum(counts)])]).tolist()
+        last = np.array(self.last, dtype="<u4").tobytes()
+        out = [ids[a:b] + last for a, b in zip(cuts, cuts[1:])]
+        for n in whole:
+            (e,) = self.library([texts[n]], add_special_tokens=False)
+            out[n] = np.array(e.ids, dtype="<u4").tobytes() + last
+        return out
+
+
+def encoded(spark: SparkSession, tokenizer: str, text: Column, pattern: str | None = None, end: int | None = None) -> Column:
     """The ids of a text by the tokenizer file at `tokenizer`, then `end`, as little-endian unsigned 32-bit integers.
 
-    No special tokens are added, and their spellings in a text are ordinary text. A null text counts as empty. The
-    file is read on the driver and sent to the tasks: a vocabulary, bounded by its file. Each task uses one thread.
+    `pattern` is the one by which that tokenizer itself splits texts. No special tokens are added, and their spellings in a
+    text are ordinary text. A null text counts as empty. The file is read on the driver and sent to the tasks: a
+    vocabulary, bounded by its file. Each task uses one thread.
     """
     with open(tokenizer, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
     tag = uuid4().hex
 
-    def made() -> Tokenizer:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
-        tokens = Tokenizer.from_str(shared.value)
-        tokens.encode_special_tokens = True
-        return tokens
-
     @F.arrow_udf("binary")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = once_per_worker(tag, made).encode_batch_fast
-        last = [] if end is None else [end]
+        encoder = once_per_worker(tag, lambda: Encoder(shared.value, pattern, end))
         for texts in batches:
-            found = encode([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            yield pa.array([np.array(e.ids + last, dtype="<u4").tobytes() for e in found], pa.binary())
+            yield pa.array(encoder.encode(texts.to_pylist()), pa.binary())
 
     return ids_of(text)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = None, planes: str = "byte") -> None:
+def write_tokens(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    *,
+    pattern: str | None = None,
+    end: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    planes: str = "byte",
+) -> None:
     """Write the ids of all texts to files at `path` in ascending order of their document's id.
 
     Null ids come first; rows of one id stand by a hash of their text, equal rows as they lie in the input. Texts are dealt out in
@@ -350,7 +413,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
     placed = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    ids = placed.select("doc_id", encoded(spark, tokenizer, F.col("text"), end).alias("ids"))
+    ids = placed.select("doc_id", encoded(spark, tokenizer, F.col("text"), pattern, end).alias("ids"))
     ids.write.format(FORMAT).mode("append").option("planes", planes).save(path)
 
 

@@ -301,7 +301,7 @@ def op13_token_planes(table) -> DataFrame:
 
     docs = small_batches(table("documents").select("doc_id", "text"))
     path = fresh_path(docs.sparkSession, "token-planes")
-    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN, end=2)
     return read_tokens(docs.sparkSession, path).select(
         "doc_id",
         "start",

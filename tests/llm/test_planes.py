@@ -56,9 +56,22 @@ def test_any_stretch_of_a_file(bits):
 DOCS = [(7, "héllo wörld"), (3, ""), (9, None), (5, "<|endoftext|> again"), (None, "no id"), (4, "x y z " * 60_000), (7, "héllo wörld"), (7, "another")]
 
 
+def test_remembered_pieces_are_the_librarys(monkeypatch):
+    """Random strings of many scripts, and forgetting between them."""
+    with open(VOCABULARY, encoding="utf-8") as file:
+        blob = file.read()
+    monkeypatch.setattr(planes, "REMEMBERED", 500)
+    own, other = planes.Encoder(blob, public_tokenizers.PATTERN, 2), planes.Encoder(blob, None, 2)
+    dice = random.Random(5)
+    letters = " \n\t'  ​　" * 3 + "abcsSTdmlve éßİжЯ中文かカ한019½².,!?-_“”…€" + "\U0001f600́कก٠Ꟁ\U00010d40"
+    for _ in range(30):
+        texts = ["".join(dice.choice(letters[: dice.choice([8, 60, len(letters)])]) for _ in range(dice.randint(0, 60))) for _ in range(200)]
+        assert own.encode([*texts, None]) == other.encode([*texts, None])
+
+
 def written(spark, tmp_path, rows, **more):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, ids string, start int")
-    write_tokens(df, str(tmp_path), VOCABULARY, end=2, **more)
+    write_tokens(df, str(tmp_path), VOCABULARY, pattern=public_tokenizers.PATTERN, end=2, **more)
     return sorted(read_tokens(spark, str(tmp_path)).collect(), key=lambda r: r.start)
 
 
