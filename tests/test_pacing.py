@@ -73,13 +73,41 @@ def test_question_log_replay(spark):
         rows.append((i, (day * 86400 + second) * SECOND + i, client, rng.randrange(4), f"q{rng.randrange(60)}",
                      rng.random() < 0.3, rng.random() < 0.2))
     df = spark.createDataFrame(rows, "id int, at_us long, client string, tender_id int, normalized string, with_history boolean, fails boolean")
-    for cap, most in ((12, 2), (5000, 3), (0, 1)):
+    for cap, most, head, days in ((12, 2, 1000, 9), (12, 2, 7, 9), (30, 2, 60, 1), (5000, 3, 20, 2), (5000, 3, 1000, 9), (0, 1, 7, 9)):
         want = brute_replay(rows, cap, most, 1200 * SECOND)
-        got = {r.id: r.outcome for r in replay_questions(df, cap, most, 1200).collect()}
-        assert got == want
+        got = {r.id: r.outcome for r in replay_questions(df, cap, most, 1200, head, days).collect()}
+        assert got == want, (cap, most, head, days)
         assert len(set(want.values())) >= (4 if cap else 1)
 
 
+def test_question_log_edges(spark):
+    schema = "id int, at_us long, client string, tender_id int, normalized string, with_history boolean, fails boolean, day string, outcome_ int"
+    assert replay_questions(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, 10, None, 1, "q", False, False), (2, 11, None, 1, "q", None, None), (3, 12, "a", None, "q", False, False),
+            (4, 13, "b", None, "q", False, None), (5, 14, "b", 2, None, False, False), (6, 400 * 86400 * SECOND, None, 1, "q", False, False),
+            (7, 400 * 86400 * SECOND, None, 1, "q", True, False)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], schema)
+    for head in (1, 100):
+        out = replay_questions(df, 40, 1, 600, head, 30)
+        assert out.columns == [*df.columns, "outcome"]
+        got = {r.id: r.outcome for r in out.collect()}
+        assert got == {1: "answered", 2: "cached", 3: "answered", 4: "answered", 5: "client window", 6: "cached", 7: "answered"}
+
+
+def test_replay_work_grows_with_the_log(spark, monkeypatch):
+    """Ten times the days take as many folds, and each row of the log enters one fold at most."""
+    from prumo.operators import intake
+
+    seen, heads = [], intake._heads
+    monkeypatch.setattr(intake, "_heads", lambda log, decided, *rest: (seen.append(rest), heads(log, decided, *rest))[1])
+    for days in (30, 300):
+        rows = [(d * 40 + k, d * intake.DAY_US + k * SECOND, k % 5, k % 3, f"q{d} {k % 11}", False, False) for d in range(days) for k in range(40)]
+        df = spark.createDataFrame(rows, "id int, at_us long, client int, tender_id int, normalized string, with_history boolean, fails boolean")
+        seen.clear()
+        got = {r.id: r.outcome for r in replay_questions(df, 8, 3, 3600).collect()}
+        assert got == brute_replay(rows, 8, 3, 3600 * SECOND) and len(seen) == 1
+
+
 def test_blocks_do_not_change_windows(spark):
     df = spark.createDataFrame([(k, i * 3, (i * 37) % 101) for k in "ab" for i in range(200)], "k string, t int, v int")
     numbered = number_rows(df, ["k"], [F.col("t").asc()], "n")
