@@ -18,7 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
-from itertools import chain
+from itertools import chain, repeat
 from uuid import uuid4
 
 import numpy as np
@@ -41,7 +41,7 @@ MANIFEST = "_manifest.json"
 CHUNK = 1 << 16  # ids in a chunk
 BATCH = 1 << 20  # ids in a batch read back, if no single document has more
 LEVEL = 3  # of zstandard
-REMEMBERED = 400_000  # pieces whose ids a worker keeps
+REMEMBERED = 800_000  # pieces whose ids a worker keeps
 AT_ONCE = 50_000  # pieces given to the library in one call
 # Any character outside these scripts, whose classes have been fixed since early versions of Unicode: Latin, Cyrillic, punctuation,
 # currency, kana, Han and Hangul.
@@ -328,6 +328,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = Tokenizer.from_str(blob)
         tokens.encode_special_tokens = True
+        if pattern is not None:
+            tokens.model._resize_cache(0)  # no piece is asked for twice
         self.library = tokens.encode_batch_fast
         self.split = None if pattern is None else regex.compile(pattern).findall
         self.last = [] if end is None else [end]
@@ -355,9 +357,13 @@ class Encoder:
             found[n] = []
         if len(self.known) > REMEMBERED:
             self.forget()
-        self.learn([p for p in set(chain.from_iterable(found)) if p not in self.known])
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        every = list(chain.from_iterable(found))
+        pieces = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(pieces < 0)
+        met = [every[n] for n in new.tolist()]
+        self.learn(list(dict.fromkeys(met)))
+        pieces[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
         size, starts = self.sizes[pieces], (np.cumsum(self.sizes) - self.sizes)[pieces]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])].tobytes()
