@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prumo.functions.text import collapse
+from prumo.operators import index as I
 from prumo.operators import search as S
 from prumo.plans import tables as A
 from prumo.plans.registry import Tables, query
 from prumo.plans.tables import with_sql
-from prumo.session import materialize
+from prumo.session import files_of, materialize, shared_folder
 
 TERMS = """page_terms AS (
   SELECT tender_id, page, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos
@@ -22,8 +25,27 @@ postings AS (
 PAGE_KEY = ["tender_id", "page"]
 
 
-def page_postings(t: Tables, words: DataFrame | None = None) -> DataFrame:
-    return S.index_texts(A.global_pages(t), "text", PAGE_KEY, words=words)
+def page_postings(t: Tables) -> DataFrame:
+    return S.index_texts(A.global_pages(t), "text", PAGE_KEY)
+
+
+# Indexes of this session: the table of each state of the given documents.
+_indexes: dict[tuple, str] = {}
+
+
+def page_index(t: Tables) -> str:
+    """The table of all pages' postings, written when it is first asked for and again when the documents have changed."""
+    state = (t.spark.sparkContext.applicationId, *files_of(t.spark, f"{t.folder}/documents.parquet"))
+    if state not in _indexes:
+        name = f"page_postings_{uuid4().hex}"
+        I.write_index(page_postings(t), name, PAGE_KEY, path=f"{shared_folder(t.spark)}/{name}")
+        _indexes[state] = name
+    return _indexes[state]
+
+
+def posted_words(t: Tables, words: DataFrame) -> DataFrame:
+    """The stored postings of some words; no text is read."""
+    return materialize(I.look_up(t.spark, page_index(t), words, PAGE_KEY), "postings")
 
 
 @query(with_sql(*A.PAGE_VIEWS, TERMS) + "SELECT tender_id, page, lexeme, CAST(pos AS BIGINT) AS pos FROM page_terms")
@@ -67,7 +89,7 @@ def word_slice(start: int, n: int):
 )
 def phrase_matches(t: Tables) -> DataFrame:
     phrases = t.benchmark.select(word_slice(2, 3).alias("phrase"))
-    posted = materialize(page_postings(t, S.phrase_words(phrases)), "postings")
+    posted = posted_words(t, S.phrase_words(phrases))
     return S.match_phrase(posted, phrases, PAGE_KEY)
 
 
@@ -83,7 +105,7 @@ def any_phrase_matches(t: Tables) -> DataFrame:
     keywords = t.benchmark.select(
         F.col("item_id").alias("profile_id"), F.explode(F.array(word_slice(1, 2), word_slice(3, 3), F.lit("  "))).alias("phrase")
     )
-    posted = materialize(page_postings(t, S.phrase_words(keywords)), "postings")
+    posted = posted_words(t, S.phrase_words(keywords))
     return S.match_any(posted, keywords, PAGE_KEY)
 
 
@@ -101,7 +123,7 @@ def word_matches(t: Tables) -> DataFrame:
         F.col("item_id").alias("query_id"), F.slice(words, 1, 2).alias("all_of"), F.slice(words, 3, 2).alias("any_of"),
         F.slice(words, 5, 1).alias("none_of"),
     )
-    posted = materialize(page_postings(t, asked.select(F.explode(F.concat("all_of", "any_of", "none_of")).alias("lexeme"))), "postings")
+    posted = posted_words(t, asked.select(F.explode(F.concat("all_of", "any_of", "none_of")).alias("lexeme")))
     return S.match_words(posted, asked, PAGE_KEY)
 
 
@@ -130,7 +152,7 @@ def word_queries(t: Tables) -> DataFrame:
 )
 def frequency_rank(t: Tables) -> DataFrame:
     words = S.query_words(word_queries(t), "words", S.SIMPLE)
-    posted = materialize(page_postings(t, words), "postings")
+    posted = posted_words(t, words)
     return S.rank(posted, words, PAGE_KEY).select(*PAGE_KEY, "query_id", "rank", "met")
 
 
@@ -145,7 +167,7 @@ found AS (
 
 def page_search(t: Tables) -> DataFrame:
     asked = word_queries(t)
-    posted = materialize(page_postings(t, S.query_words(asked, "words", S.SIMPLE)), "postings")
+    posted = posted_words(t, S.query_words(asked, "words", S.SIMPLE))
     return S.search_pages(posted, asked)
 
 
@@ -173,7 +195,7 @@ def search_pages_with_phrases(t: Tables) -> DataFrame:
         F.slice(words, 1, 1).alias("words"), F.array(word_slice(2, 3)).alias("phrases"), F.slice(words, 7, 1).alias("none_of"),
     )
     wanted = asked.select(F.explode(F.concat("words", F.split(F.get("phrases", F.lit(0)), " "), "none_of")).alias("lexeme"))
-    posted = materialize(page_postings(t, wanted), "postings")
+    posted = posted_words(t, wanted)
     return S.search_pages(posted, asked).withColumn("place", F.col("place").cast("long"))
 
 

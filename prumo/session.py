@@ -77,6 +77,13 @@ def scratch(spark: SparkSession, name: str = "scope") -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of the files at a path: what tells one state of a table from another."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(place))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a stage once and read it back: cuts lineage, survives lost executors,
     and gives the optimiser real sizes for what follows."""
