@@ -298,23 +298,28 @@ def with_headline(
     split = pages.withColumn("_shown", F.split(collapse(text), " "))
     cores = F.transform("_shown", lambda w: F.regexp_extract(F.lower(w), TOKEN, 0))
     split = split.withColumn("_cores", stemmer(language)(cores) if language.stems else cores)
-    return split.withColumn(name, _headline(words, width, lead, fragments)).drop("_shown", "_cores")
+    flags = F.transform("_cores", lambda c: F.coalesce(F.array_contains(as_col(words), c), F.lit(False)))
+    hits = F.filter(F.transform("_flags", lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    split = split.withColumn("_flags", flags).withColumn("_hits", hits)
+    return split.withColumn(name, _headline(width, lead, fragments)).drop("_shown", "_cores", "_flags", "_hits")
 
 
-def _headline(words: str, width: int, lead: int, fragments: int) -> Column:
-    shown, cores = F.col("_shown"), F.col("_cores")
-    wanted = as_col(words)
-    flags = F.transform(cores, lambda c: F.coalesce(F.array_contains(wanted, c), F.lit(False)))
-    hits = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
-    starts = F.array_distinct(F.transform(hits, lambda i: F.greatest(i - lead, F.lit(0))))
-    ranked = F.array_sort(
-        F.transform(
-            starts,
-            lambda s: F.struct(
-                (-F.size(F.filter(hits, lambda h: (h >= s) & (h < s + width)))).alias("minus"), s.alias("start")
-            ),
-        )
-    )
+def _headline(width: int, lead: int, fragments: int) -> Column:
+    """From the columns `_shown` (words), `_flags` (which are hits) and `_hits` (where).
+
+    A window holds no more hits than words, and begins `lead` words before one, so its hits are among the next few after
+    those: each window looks at a slice of the hits, however many a page has.
+    """
+    shown, flags, hits = F.col("_shown"), F.col("_flags"), F.col("_hits")
+    begin = lambda i: F.greatest(F.get(hits, i) - lead, F.lit(0))
+
+    def window(i: Column) -> Column:
+        near = F.slice(hits, F.greatest(i - lead, F.lit(0)) + 1, F.lit(width + lead))
+        inside = F.size(F.filter(near, lambda h: (h >= begin(i)) & (h < begin(i) + width)))
+        # Windows that begin alike (at the first word) are one.
+        return F.when((i == 0) | (begin(i) != begin(i - 1)), F.struct((-inside).alias("minus"), begin(i).alias("start")))
+
+    ranked = F.array_sort(F.filter(F.transform(hits, lambda h, i: window(i)), lambda w: w.isNotNull()))
     picked = F.aggregate(
         ranked,
         F.array().cast("array<int>"),
