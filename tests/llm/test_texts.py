@@ -168,3 +168,65 @@ def test_toxicity_with_one_id_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_fit", lambda model, features, *rest: (seen.append(len(features)), fit(model, features, *rest)))
     toxicity.learn(docs, labels, per_class=50)
     assert 50 < seen[0] < 150
+
+
+def plain_language(model, text):
+    """Language and score of a text, word by word, from the lines of the model."""
+    import math
+    import re
+
+    words = [w for chunk in (text or "").split() for w in re.findall(r"[^\W\d_]+", chunk.lower())]
+    total = [0.0] * len(model.languages)
+    for word in words:
+        marked, lines = f"^{word}$", []
+        if word in model.rows:
+            lines = [model.rows[word]]
+        for size in range(langid.LONGEST, 0, -1):
+            lines = lines or [model.rows[g] for i in range(len(marked) - size + 1) if (g := f"{size}{marked[i : i + size]}") in model.rows]
+        if lines:
+            said = [sum(float(model.table[n][k]) for n in lines) / len(lines) for k in range(len(total))]
+            whole = math.log(sum(math.exp(s - max(said)) for s in said)) + max(said)
+            total = [t + max(s - whole, langid.LEAST) for t, s in zip(total, said)]
+    if not words:
+        return "und", 0.0
+    weighed = [t / math.sqrt(len(words)) for t in total]
+    best = max(range(len(total)), key=lambda k: weighed[k])
+    return model.languages[best], 1 / sum(math.exp(w - weighed[best]) for w in weighed)
+
+
+def test_language_against_a_plain_version(spark):
+    """The query's result, text by text; the model's lines come from the same learning."""
+    from prumo.llm.queries import remainder
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(remainder(5) != 0))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op6_word_first_language"](spark, SMALL).collect():
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3)
+
+
+def test_words_of_a_language_are_within_it(spark):
+    """`within`, asked for: the judgement worked out run by run."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    judge = langid.Judge(model, within=True)
+    usual, _, unknown, unknown_word = model.usual
+    words = ["the", "x", "ouvre", "zzzzqqq", "d", "漢字"]
+    got = judge.backing(words)
+    for word, row in zip(words, got):
+        marked = f"^{word}$"
+        runs = [f"3{marked[i : i + 3]}" for i in range(len(marked) - 2)]
+        total = sum(model.table[model.rows[g]].astype(float) if g in model.rows else unknown for g in runs)
+        if word in model.rows:
+            known = model.table[model.rows[word]] > unknown_word + 1e-3
+            total = np.where(known, np.maximum(total, len(runs) * usual), total)
+        assert row[-1] == len(runs) and np.allclose(row[:-1], total, atol=1e-4)
+
+
+def test_toxicity_and_language_with_repeated_ids(spark):
+    """Rows of one id are judged one by one, and none is lost."""
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (1, "der hund und die katze", "de"), (2, "the cat", "en"), (2, "the cat", "en")] * 20, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    found = docs.select("lang", langid.predict(spark, model, F.col("text")).alias("p")).collect()
+    assert len(found) == 80 and all(r.lang == r.p.lang for r in found)
