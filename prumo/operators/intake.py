@@ -187,8 +187,7 @@ def _rest_of_day(rows: DataFrame, decided: DataFrame, day: int, cap: int, most:
     while True:
         waiting = _placed(open_, first, full, left).where("turned IS NULL").drop("turned")
         arrivals = waiting.withColumn("given", F.lit(False)).unionByName(held.withColumn("given", F.lit(True)))
-        arrivals = arrivals.withColumn("who", F.to_json(F.struct("client")))  # no client is a client, too
-        admitted = admit(arrivals, "who", "at_us", "id", most, window_seconds).where("NOT given").drop("given", "who")
+        admitted = admit(arrivals, "client", "at_us", "id", most, window_seconds).where("NOT given").drop("given")
         admitted = materialize(admitted, "questions-admitted")
         answers = admitted.where("admitted AND NOT fails")
         found = answers.where("NOT with_history").groupBy("tender_id", "normalized").agg(F.min(here).alias("first"))

@@ -49,7 +49,7 @@ def admit(
     run: int = RUN,
 ) -> DataFrame:
     """Sliding-window admission per key: `admitted` if fewer than `most` admitted arrivals lie
-    within the window; one exactly as old as the window still counts.
+    within the window; one exactly as old as the window still counts. Times and ties are not null; a null key is one key.
 
     The rule is sequential per key, but a key's arrivals are cut into runs that are folded side
     by side, streaming piece by piece. Each run first assumes nothing is held; then the runs
@@ -59,6 +59,9 @@ def admit(
     """
     window_us = window_seconds * SECOND
     nothing = F.array().cast("array<bigint>")
+    # A null key is a key like any other, also in joins.
+    events = events.withColumn("_who", F.to_json(F.struct(key)))
+    key = "_who"
     numbered = number_rows(events, [key], [F.col(at_us).asc(), F.col(tie).asc()], "_n")
     at = F.floor((F.col("_n") - 1) / piece)
     pieces = materialize(
@@ -120,7 +123,7 @@ def admit(
     flagged = pieces.join(folded, [key, "_run", "_piece"]).select(
         key, F.inline(F.arrays_zip(F.col("ties").alias(tie), F.col("flags").alias("admitted")))
     )
-    return events.join(flagged, [key, tie])
+    return events.join(flagged, [key, tie]).drop(key)
 
 
 def pace(events: DataFrame, key: str, at_us: str, tie: str, interval_us: int) -> DataFrame:

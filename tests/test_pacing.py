@@ -141,3 +141,16 @@ def test_daily_cap_and_sweep_plan(spark):
                                    "day string, modality_id int, last_page int, closed boolean").withColumn("day", F.to_date("day"))
     plan = E.sweep_plan(sweeps, F.to_date(F.lit("2026-10-05")), 5, spark.createDataFrame([(6,)], "modality_id int"))
     assert {(str(r.day), r.next_page) for r in plan.collect()} == {("2026-10-02", 3), ("2026-10-03", 1), ("2026-10-04", 1), ("2026-10-05", 1)}
+
+
+def test_no_client_is_a_client(spark):
+    rows = [(i, None if i % 3 else f"c{i % 2}", i * 40 * SECOND) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, client string, at_us long")
+    out = E.admit(df, "client", "at_us", "id", 3, 600, piece=8, run=2)
+    held, want = {}, {}
+    for i, client, at in rows:
+        mine = [h for h in held.get(client, []) if at - h <= 600 * SECOND]
+        want[i] = len(mine) < 3
+        held[client] = [*mine, at] if want[i] else mine
+    assert set(out.columns) == {"id", "client", "at_us", "admitted"}
+    assert {r.id: r.admitted for r in out.collect()} == want
