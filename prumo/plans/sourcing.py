@@ -214,11 +214,11 @@ def dated_results(t: Tables) -> DataFrame:
 
 @query(PORTAL)
 def swept_tenders(t: Tables) -> DataFrame:
-    """Envelopes arriving as files, merged micro-batch by micro-batch into tender snapshots."""
+    """Envelopes arriving as files, merged micro-batch by micro-batch into a bucketed table."""
     source, state = fresh_path(t.spark, "arrivals"), fresh_path(t.spark, "sweep")
     envelopes(t).repartition(3).write.json(source)
     W.sweep(t.spark, source, state, multi_line=False, files_per_batch=1)
-    current = W.latest_snapshot(t.spark, state)
+    current = W.swept(t.spark, state)
     return shown_tenders(current)
 
 
@@ -231,8 +231,8 @@ def sweep_progress(t: Tables) -> DataFrame:
     """How far the days of the swept envelopes were read, and the tenders each brought."""
     source, state = fresh_path(t.spark, "arrivals"), fresh_path(t.spark, "sweep")
     envelopes(t).repartition(3).write.json(source)
-    W.sweep(t.spark, source, state, multi_line=False, files_per_batch=1, today=F.to_date(F.lit("1998-01-01")))
-    done = W.sweep_progress(t.spark, state)
+    W.sweep(t.spark, source, state, multi_line=False, files_per_batch=1)
+    done = W.sweep_progress(t.spark, state, today=F.to_date(F.lit("1998-01-01")))
     return done.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.col(c).cast("long").alias(c) for c in ("modality_id", "last_page", "total_records")],
         "closed", "new", "updated",

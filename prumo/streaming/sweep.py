@@ -1,9 +1,10 @@
 """Incremental sweep: portal pages arrive as files and are merged into a bucketed table of tenders.
 
-A micro-batch writes new versions of the buckets it touches and leaves the others alone; a small table says
-which version of each bucket counts, and is written last. A batch that is run again after a crash starts from
-the same versions and writes the same paths, so nothing is counted twice. Beside the tenders it keeps how far each day of
-each modality was read.
+A micro-batch replaces the buckets it touches (dynamic partition overwrite) and leaves the others alone. Its merged rows are
+stored first, then its counts per day under its number, then the buckets are replaced from the stored rows. A batch that is
+run again after a crash either finds no counts of its own and starts over from untouched buckets, or finds them and only
+repeats the replacement; so nothing is counted twice and no bucket stays half replaced. Progress is the sum of the counts on
+reading. Read the tables between runs: a bucket's files go when it is replaced.
 """
 
 from __future__ import annotations
@@ -15,98 +16,99 @@ from pyspark.sql import types as T
 from prumo.fixed_values import SOURCE_ZONE
 from prumo.operators.merge import merge_tenders
 from prumo.schemas import SWEEPS, TENDERS
-from prumo.session import materialize
+from prumo.session import materialize, scratch
 from prumo.sources.portal import ENVELOPE, open_envelopes, parse_tenders
-from prumo.sources.sinks import bucket_of
+from prumo.sources.sinks import bucket_of, with_bucket
 
 ORDER = ["updated_at", "page", "raw"]
 BUCKETS = 64
-VERSIONS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
-COUNTED = T.StructType([*SWEEPS.fields, T.StructField("new", T.LongType()), T.StructField("updated", T.LongType())])
+MERGED = T.StructType([*TENDERS.fields, T.StructField("inserted", T.BooleanType()), T.StructField("bucket", T.IntegerType())])
+COUNTED = T.StructType(
+    [f for f in SWEEPS.fields if f.name != "closed"]
+    + [T.StructField("new", T.LongType()), T.StructField("updated", T.LongType()), T.StructField("batch", T.LongType())]
+)
 
 
-def _files(spark: SparkSession, path: str):
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+def _table(spark: SparkSession, path: str, schema: T.StructType, by: str) -> DataFrame:
+    """The partitioned table at a path, made empty where there is none."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(by).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def snapshots(spark: SparkSession, state: str) -> list[int]:
-    """Numbers of the micro-batches that were written to the end, oldest first."""
-    fs, root = _files(spark, f"{state}/versions")
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.removeprefix("batch-")))
-    return sorted(found)
+def _tenders(spark: SparkSession, state: str) -> DataFrame:
+    return _table(spark, f"{state}/tenders", with_bucket(TENDERS), "bucket")
 
 
-def _versions(spark: SparkSession, state: str, batch: int | None) -> dict[int, int]:
-    """The version of each bucket after a batch: as many rows as buckets at most."""
-    if batch is None:
-        return {}
-    rows = spark.read.schema(VERSIONS).parquet(f"{state}/versions/batch-{batch:08d}").collect()
-    return {r["bucket"]: r["version"] for r in rows}
+def _counts(spark: SparkSession, state: str) -> DataFrame:
+    return _table(spark, f"{state}/sweeps", COUNTED, "batch")
 
 
-def _folder(state: str, bucket: int, version: int) -> str:
-    return f"{state}/tenders/version={version:08d}/bucket={bucket}"
+def _replace(df: DataFrame, path: str, by: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def _buckets(spark: SparkSession, state: str, versions: dict[int, int]) -> DataFrame:
-    paths = [_folder(state, b, v) for b, v in sorted(versions.items())]
-    return spark.read.schema(TENDERS).parquet(*paths) if paths else spark.createDataFrame([], TENDERS)
-
-
-def latest_snapshot(spark: SparkSession, state: str) -> DataFrame:
+def swept(spark: SparkSession, state: str) -> DataFrame:
     """All tenders as of the last finished micro-batch; empty when there is none."""
-    done = snapshots(spark, state)
-    return _buckets(spark, state, _versions(spark, state, done[-1] if done else None))
-
-
-def sweep_progress(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    """Per day and modality: last page, totals, whether it is closed, and the tenders it brought new and again."""
-    done = [n for n in snapshots(spark, state) if before is None or n < before]
-    if not done:
-        return spark.createDataFrame([], COUNTED)
-    return spark.read.schema(COUNTED).parquet(f"{state}/sweeps/batch-{done[-1]:08d}")
+    return _tenders(spark, state).select(*TENDERS.fieldNames())
 
 
-def _day() -> Column:
-    """The portal's day of publication."""
-    return F.to_date(F.from_utc_timestamp("published_at", SOURCE_ZONE))
+def sweep_progress(spark: SparkSession, state: str, today: Column | None = None) -> DataFrame:
+    """Per day and modality: last page, totals, whether it is closed, and the tenders it brought new and again.
 
-
-def _progress(old: DataFrame, arrived: DataFrame, merged: DataFrame, today: Column) -> DataFrame:
-    keys = ["day", "modality_id"]
-    read = arrived.groupBy(_day().alias("day"), "modality_id").agg(
-        *[F.max(c).cast("int").alias(n) for c, n in (("page", "last_page"), ("total_pages", "total_pages"), ("total_records", "total_records"))],
+    A day read to its end and older than yesterday is closed: nothing more is expected of it. The totals are those that the
+    latest batch names. A day or modality that is null is one like any other.
+    """
+    now = today if today is not None else F.current_date()
+    latest = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))) for c in ("total_pages", "total_records")}
+    days = _counts(spark, state).groupBy("day", "modality_id").agg(
+        F.max("last_page").alias("last_page"),
+        *[v.alias(c) for c, v in latest.items()],
         F.max("updated_at").alias("updated_at"),
+        F.sum("new").alias("new"),
+        F.sum("updated").alias("updated"),
     )
-    came = merged.join(arrived.select("id").distinct(), "id", "left_semi")
-    counts = came.groupBy(_day().alias("day"), "modality_id").agg(
-        F.count(F.when(F.col("inserted"), 1)).alias("new"), F.count(F.when(~F.col("inserted"), 1)).alias("updated")
-    )
-    fresh = read.join(counts, keys, "left").select(*keys, *[F.col(c).alias(f"_{c}") for c in COUNTED.fieldNames()[2:] if c != "closed"])
-    both = old.join(fresh, keys, "full")
-
-    def total(c: str) -> Column:
-        return (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).cast("long").alias(c)
-
-    latest = both.select(
-        *keys,
-        F.greatest("last_page", "_last_page").alias("last_page"),
-        F.coalesce("_total_pages", "total_pages").alias("total_pages"),
-        F.coalesce("_total_records", "total_records").alias("total_records"),
-        F.greatest("updated_at", "_updated_at").alias("updated_at"),
-        total("new"),
-        total("updated"),
+    whole = (F.col("last_page") >= F.col("total_pages")) & (F.col("day") < F.date_sub(now, 1))
+    return days.withColumn("closed", F.coalesce(whole, F.lit(False))).select(*SWEEPS.fieldNames(), "new", "updated")
+
+
+def _counted(arrived: DataFrame, merged: DataFrame, number: int) -> DataFrame:
+    """What a batch read of each day and modality, and the tenders it brought there: one grouping of both, without a join."""
+    key = [F.to_date(F.from_utc_timestamp("published_at", SOURCE_ZONE)).alias("day"), "modality_id"]
+    came = merged.join(arrived.select("id").distinct(), "id", "left_semi").select(*key, "inserted")
+    read = arrived.select(*key, "page", "total_pages", "total_records", "updated_at")
+    most = (("page", "last_page"), ("total_pages", "total_pages"), ("total_records", "total_records"))
+    return (
+        read.unionByName(came, allowMissingColumns=True)
+        .groupBy("day", "modality_id")
+        .agg(
+            *[F.max(c).cast("int").alias(n) for c, n in most],
+            F.max("updated_at").alias("updated_at"),
+            F.count_if("inserted").alias("new"),
+            F.count_if(~F.col("inserted")).alias("updated"),
+            F.lit(number).cast("long").alias("batch"),
+        )
+        .select(*COUNTED.fieldNames())
     )
-    # Read to its end and older than yesterday: nothing more is expected of it.
-    whole = (F.col("last_page") >= F.col("total_pages")) & (F.col("day") < F.date_sub(today, 1))
-    return latest.withColumn("closed", F.coalesce(whole, F.lit(False))).select(*COUNTED.fieldNames())
+
+
+def merge_batch(arrived: DataFrame, number: int, state: str, buckets: int = BUCKETS) -> None:
+    """Merge parsed tenders into the table as micro-batch `number`. The latest batch may be given again, whole, any number
+    of times; an empty one changes nothing."""
+    spark = arrived.sparkSession
+    merged_path, counts_path = f"{state}/merged", f"{state}/sweeps"
+    if _counts(spark, state).where(F.col("batch") == number).isEmpty():
+        with scratch(spark, "sweep"):
+            arrived = materialize(arrived.withColumn("bucket", bucket_of(["id"], buckets)), "arrived")
+            touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # at most the buckets
+            current = _tenders(spark, state).where(F.col("bucket").isin(touched)).drop("bucket")
+            fresh = arrived.drop("total_pages", "total_records", "bucket")
+            merged = merge_tenders(current, fresh, ORDER).withColumn("bucket", bucket_of(["id"], buckets))
+            merged.select(*MERGED.fieldNames()).write.mode("overwrite").parquet(merged_path)
+            merged = spark.read.schema(MERGED).parquet(merged_path)
+            # One file, so that the counts of a batch are there whole or not at all: they say that its rows are stored.
+            _replace(_counted(arrived, merged, number).coalesce(1), counts_path, "batch")
+    stored = spark.read.schema(MERGED).parquet(merged_path)
+    _replace(stored.drop("inserted").repartition("bucket", "id"), f"{state}/tenders", "bucket")
 
 
 def sweep(
@@ -117,14 +119,12 @@ def sweep(
     multi_line: bool = True,
     files_per_batch: int = 100,
     buckets: int = BUCKETS,
-    today: Column | None = None,
 ) -> None:
     """Merge all envelopes that arrived under `source` since the last run, then stop.
 
     `accept` is a condition on parsed tenders, for instance that their day is still open:
     a plain filter, since no operator of this stream keeps event-time state. `buckets` is fixed for a `state`
-    folder: a bucket is what a micro-batch rewrites, so their number grows with the table. Versions that neither this
-    batch nor the one before it uses are deleted.
+    folder: a bucket is what a micro-batch rewrites, so their number grows with the table.
     """
     envelopes = (
         spark.readStream.schema(ENVELOPE)
@@ -132,32 +132,10 @@ def sweep(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(source)
     )
-    now = today if today is not None else F.current_date()
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
         arrived = parse_tenders(open_envelopes(batch))
-        if accept is not None:
-            arrived = arrived.where(accept)
-        arrived = materialize(arrived.withColumn("bucket", bucket_of(["id"], buckets)), "arrived")
-        done = [n for n in snapshots(session, state) if n < number]
-        versions = _versions(session, state, done[-1] if done else None)
-        touched = {r["bucket"] for r in arrived.select("bucket").distinct().collect()}  # at most the buckets
-        current = _buckets(session, state, {b: v for b, v in versions.items() if b in touched})
-        merged = materialize(
-            merge_tenders(current, arrived.drop("total_pages", "total_records", "bucket"), ORDER), "merged"
-        )
-        merged.select(*TENDERS.fieldNames(), bucket_of(["id"], buckets).alias("bucket")).repartition("bucket", "id").write.mode(
-            "overwrite"
-        ).partitionBy("bucket").parquet(f"{state}/tenders/version={number:08d}")
-        old = sweep_progress(session, state, before=number)
-        _progress(old, arrived, merged, now).write.mode("overwrite").parquet(f"{state}/sweeps/batch-{number:08d}")
-        after = [(b, number if b in touched else versions[b]) for b in sorted(touched | set(versions))]
-        session.createDataFrame(after, VERSIONS).coalesce(1).write.mode("overwrite").parquet(f"{state}/versions/batch-{number:08d}")
-        for bucket, version in (_versions(session, state, done[-2]) if len(done) > 1 else {}).items():
-            if versions.get(bucket) != version:
-                fs, path = _files(session, _folder(state, bucket, version))
-                fs.delete(path, True)
+        merge_batch(arrived if accept is None else arrived.where(accept), number, state, buckets)
 
     run = (
         envelopes.writeStream.foreachBatch(merge)
