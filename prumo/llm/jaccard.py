@@ -13,15 +13,12 @@ that do are verified on their whole sets.
 Groups: equal sets are one node. Each looked-up n-gram names one of its nodes as hub (the one with most frequent n-grams,
 then the smallest); nodes are first verified against their hubs only, which joins groups of near copies without making
 all their pairs. Pairs are made afterwards only between nodes of different components, so no link between components is lost.
-An n-gram that many of them share is looked up again with each n-gram that follows it in their prefixes, one longer, and so on:
-two linked sets share their first k common n-grams within prefixes longer by k - 1, so they meet wherever the list ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -38,7 +35,6 @@ WINDOW = 2_000_000  # n-grams counted together when frequent ones are sought
 OFTEN = 3  # times in one window that make an n-gram worth counting
 FREQUENT = 64  # counted times that make it frequent
 MOST_FREQUENT = 1 << 18  # frequent n-grams kept: 2 MB for each task
-CROWDED = 32  # nodes under one key that make pairs at any rate
 BITS_EACH = 16  # bits of the filter on ids for each id that needs its whole set: one text in 16 comes along for nothing
 MOST_BITS = 1 << 27  # of that filter: 16 MB, enough for 8 million ids; more of them meet the texts in a join
 
@@ -147,7 +143,7 @@ def filter_bits(count: int) -> int:
 
 
 def whole_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, grams) for at least the ids of column `id`, each there once.
+    """(id, grams) for at least the ids of column `id`, which are distinct.
 
     A bitmap of hashed ids, sized by their count, goes to the tasks, so that no text is shuffled; a few texts that
     merely share a bit come along. Where the bitmap would be too large, ids and texts are joined.
@@ -240,59 +236,6 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, sim
     return materialize(both.filter(down * common >= up * either).select("a", "b").distinct(), "links")
 
 
-def _pairs_within(rows: DataFrame, depth: int, similarity: Fraction) -> DataFrame:
-    """Pairs (a, b) of rows of one key and different groups that may be linked by their sizes and by what may follow `at`, the
-    place of the last of the `depth` n-grams of the key. The shorter one has it so early that enough may follow."""
-    up, down = similarity.numerator, similarity.denominator
-    early = F.col("at") <= F.col("n") - _ceil(2 * up * F.col("n") / F.lit(up + down)) + depth - 1
-    one = rows.filter(early).select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "group")])
-    two = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "group")])
-    least = _ceil(up * (F.col("n_x") + F.col("n_y")) / F.lit(up + down))
-    return one.join(two, "key").filter(
-        (F.col("group_x") != F.col("group_y"))
-        & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y"))))
-        & (down * F.col("n_x") >= up * F.col("n_y"))
-        & (F.col("at_x") <= F.col("n_x") - least + depth - 1)
-        & (F.col("at_y") <= F.col("n_y") - least + depth - 1)
-    ).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-
-
-def cross_pairs(placed: DataFrame, ordered: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that hold all links between groups, each once.
-
-    `placed` (key, node, n, at, group) are the looked-up n-grams, `ordered` (node, first) the n-grams of a node in order. Where the
-    rows that the next n-grams would give are fewer than the pairs, a crowded key is split by them; then only
-    sets that need no more common n-grams than the key has make pairs under it. After LONGER n-grams all do.
-    """
-    up, down = similarity.numerator, similarity.denominator
-    need = _ceil(up * F.col("n") / F.lit(down))  # what any set linked with this one shares with it at least
-    found = []
-    for depth in range(1, LONGER + 1):
-        reach = F.least(F.col("n"), F.col("n") - need + depth + 1)  # where the prefix that is longer by `depth` ends
-        follow = F.greatest(F.lit(0), reach - F.col("at") - 1)
-        keys = placed.groupBy("key").agg(
-            F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("nodes"), F.sum(follow).alias("rows")
-        )
-        crowded = (F.col("nodes") > CROWDED) & (4.0 * F.col("rows") < F.col("nodes").cast("double") * F.col("nodes"))
-        split = crowded if depth < LONGER else F.lit(False)
-        keys = keys.filter("low < high").select("key", split.alias("split"))
-        rows = placed.join(keys, "key")
-        found.append(materialize(_pairs_within(rows.filter(~F.col("split") | (need <= depth)), depth, similarity).distinct(), "pairs"))
-        if depth == LONGER or keys.filter("split").isEmpty():
-            break
-        start, count = (F.col("at") + 2).cast("int"), follow.cast("int")
-        deeper = rows.filter(F.col("split") & (follow > 0)).join(ordered, "node").select(
-            "key", "node", "n", "at", "group", F.posexplode(F.slice("first", start, count)).alias("step", "gram")
-        )
-        deeper = deeper.select(
-            F.xxhash64("key", "gram").alias("key"), "node", "n", (F.col("at") + 1 + F.col("step")).alias("at"), "group"
-        )
-        # A key of one node makes no pair.
-        several = deeper.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key")
-        placed = materialize(deeper.join(several, "key", "left_semi"), f"placed-{depth + 1}")
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -319,7 +262,6 @@ def near_duplicates(
         .agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "rare", "first")])
     )
     nodes = materialize(nodes, "nodes")
-    ordered = nodes.select("node", "first")
     names = nodes.select("one", "two", "node")
     up, down = similarity.numerator, similarity.denominator
     short = F.col("n") - _ceil(up * F.col("n") / F.lit(down)) + 1
@@ -346,10 +288,29 @@ def near_duplicates(
     links = _links(to_hub, nodes, texts, words, similarity)
     found = materialize(components(links), "first-components")
 
-    # Pairs of different components that share a looked-up n-gram.
+    # Pairs of different components that share a looked-up n-gram: the shorter one has it so early that enough may follow.
     placed = posts.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    placed = materialize(placed.select(F.col("gram").alias("key"), "node", "n", "at", "group"), "placed")
-    pairs = cross_pairs(placed, ordered, similarity).join(to_hub, ["a", "b"], "left_anti")
+    placed = placed.select("gram", "node", "n", "at", "group")
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
+    open_ = placed.join(mixed.select("gram"), "gram", "left_semi")
+    early = F.col("at") <= F.col("n") - _ceil(2 * up * F.col("n") / F.lit(up + down))
+    one = open_.filter(early).toDF("gram", "x", "n_x", "at_x", "group_x")
+    two = open_.toDF("gram", "y", "n_y", "at_y", "group_y")
+    least = _ceil(up * (F.col("n_x") + F.col("n_y")) / F.lit(up + down))
+    pairs = (
+        one.join(two, "gram")
+        .filter(
+            (F.col("group_x") != F.col("group_y"))
+            & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
+            & (down * F.col("n_x") >= up * F.col("n_y"))
+            & (F.col("at_x") <= F.col("n_x") - least)
+            & (F.col("at_y") <= F.col("n_y") - least)
+        )
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+        .join(to_hub, ["a", "b"], "left_anti")
+    )
     pairs = materialize(pairs, "cross-pairs")
     more = _links(pairs, nodes, texts, words, similarity)
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
