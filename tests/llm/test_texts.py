@@ -230,3 +230,77 @@ def test_toxicity_and_language_with_repeated_ids(spark):
     model = langid.learn(docs)
     found = docs.select("lang", langid.predict(spark, model, F.col("text")).alias("p")).collect()
     assert len(found) == 80 and all(r.lang == r.p.lang for r in found)
+
+
+def plain_quality(rows, labels):
+    """{id: (host rate, path rate, score)} of (id, text, host, path) rows with different ids, one row at a time."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    def signals(text):
+        text, top = text or "", quality.STEPS - 1
+        words = [w for w in regex.split(r"[\x20\x09-\x0D]+", text) if w]
+        count, length = max(len(words), 1), max(len(text), 1)
+        share = lambda p: 1 - len(regex.sub(p, "", text)) / length
+        marks = sum(not regex.search(r"[\p{L}\p{N}]", w) for w in words)
+        parts = [
+            share(r"\p{Lu}") * 2,
+            share(r"[^\p{L}\p{N}\x20\t-\r]") * 3,
+            share(r"\p{N}") * 3,
+            1 - len(set(words)) / count**0.9 / 1.6,
+            marks / count * 2,
+        ]
+        return [min(top, math.floor(p * quality.STEPS)) for p in parts] + [min(top, math.floor(math.log(count) / math.log(2)))]
+
+    def strength(sites):
+        """Of (documents, good ones, the parent's rate)."""
+        seen = sum(n * (g / n - r) ** 2 for n, g, r in sites)
+        noise = sum(r * (1 - r) for _, _, r in sites)
+        beyond = max((seen - noise) / sum(n * r * (1 - r) for n, _, r in sites), 1e-4)
+        return min(max(1 / beyond - 1, 1.0), 1e4)
+
+    steps = {i: signals(text) for i, text, _, _ in rows}
+    taught = [(steps[i], labels[i]) for i in steps if i in labels]
+    total = Counter(label for _, label in taught)
+    seen = Counter((k, step, label) for found, label in taught for k, step in enumerate(found))
+    rate = min(max(total[1] / len(taught), 0.01), 0.99)
+
+    def says(k, step):
+        if not seen[k, step, 0] + seen[k, step, 1]:
+            return 0.0
+        ratio = math.log((seen[k, step, 1] + 0.5) / (total[1] + 1)) - math.log((seen[k, step, 0] + 0.5) / (total[0] + 1))
+        return max(-quality.STRONGEST, min(quality.STRONGEST, ratio))
+
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    evidence = {i: sum(says(k, step) for k, step in enumerate(found)) for i, found in steps.items()}
+    own = {i: chance(e + math.log(rate / (1 - rate))) for i, e in evidence.items()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, host, path in rows:
+        hosts[host].append(own[i])
+        paths[host, path].append(own[i])
+    whole = sum(own.values()) / len(own)
+    worth = strength([(len(g), sum(g), whole) for g in hosts.values()])
+    parent = {h: (sum(g) + worth * whole) / (len(g) + worth) for h, g in hosts.items()}
+    path_worth = strength([(len(g), sum(g), parent[h]) for (h, _), g in paths.items()])
+    out = {}
+    for i, _, host, path in rows:
+        h, p = hosts[host], paths[host, path]
+        above = (sum(h) - own[i] + worth * whole) / (len(h) - 1 + worth)
+        at = max(1e-6, min(1 - 1e-6, (sum(p) - own[i] + path_worth * above) / (len(p) - 1 + path_worth)))
+        out[i] = above, at, chance(evidence[i] + math.log(at / (1 - at)))
+    return out
+
+
+def test_quality_beside_a_plain_version(spark):
+    import zlib
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    given = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality").collect()
+    labels = {r.doc_id: r.quality for r in given if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    expected = plain_quality([tuple(r) for r in docs], labels)
+    found = QUERIES["op4_site_quality"](spark, SMALL).collect()
+    assert len(found) == len(expected) == len(docs)
+    for r in found:
+        assert (r.host_rate, r.path_rate, r.score) == pytest.approx(expected[r.doc_id], rel=1e-9)
