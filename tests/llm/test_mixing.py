@@ -92,6 +92,17 @@ def test_empty_table_and_empty_texts(spark):
         mix(table(spark, ROWS), share=3.0)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_third_of_the_rows_on_one_id(spark, hot):
+    rows = [(hot if i % 3 == 0 else 10_000 + i, "word " * (1 + i % 4) + str(i), "s1" if i % 2 else "s2") for i in range(900)]
+    found = mix(table(spark, rows)).collect()
+    assert sorted(r.row.text for r in found) == sorted(t for _, t, _ in rows)
+    for source in ("s1", "s2"):
+        mine = [r for r in found if r.row.source == source]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5)
+        assert all(0 <= r.taken <= 2 * r["size"] for r in mine)
+
+
 def test_numbered_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(2).alias("v"))
     rows = numbered_ranges(df, ["k"], ["v"]).collect()

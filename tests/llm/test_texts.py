@@ -304,3 +304,8 @@ def test_quality_beside_a_plain_version(spark):
     assert len(found) == len(expected) == len(docs)
     for r in found:
         assert (r.host_rate, r.path_rate, r.score) == pytest.approx(expected[r.doc_id], rel=1e-9)
+
+
+def test_token_counts_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert docs.select(wordpiece.token_counts(spark, ["a", "ab"], F.col("text")).alias("c")).select("c.*").collect() == []
