@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prumo.fixed_values import BATCH_SIZE, CANDIDATE_LIMIT, MAX_OBJECT, RELEVANT_SCORE
 from prumo.functions.display import format_brl
 from prumo.functions.predicates import in_range_or_unknown, is_open
 from prumo.functions.text import collapse_cut, strip
-from prumo.operators.grouping import keep_last, number_rows, top_per_key
-from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_phrase, weight
+from prumo.operators.grouping import keep_last, number_rows, running_total, top_per_key
+from prumo.operators.search import SIMPLE, Language, analyze, index_texts, match_phrase, phrase_words, weight
 from prumo.session import materialize
 
 
@@ -35,27 +36,34 @@ def candidates(
 ) -> DataFrame:
     """The k best open tenders per profile that match it and were not judged for it yet.
 
-    Only open tenders are indexed. Profiles that ask the same (phrases, states, bounds) are one ask, so tenders are matched and
-    ranked once per different ask. Of each ask only the k best stay, and as many more as the most judged of
-    its profiles has judged; only those meet profiles. Rows so grow with asks times the tenders they match, and with profiles times k.
+    Only open tenders are indexed. Profiles that ask the same (phrases, states, bounds) are one ask, and tenders that no ask tells
+    apart are one kind. Of each ask only the k best stay, and as many more as the most judged of its profiles has judged
+    among the open ones; only those meet profiles. Rows so grow with asks times the kinds they match, and with asks and profiles times k.
     """
     members = _asks(profiles)
-    distinct = members.groupBy("ask").agg(F.first("profile").alias("p")).select(F.col("ask").alias("id"), "p.*")
-    judged = triage.select("profile_id", F.col("tender_id").alias("id"))
-    spare = (
+    distinct = members.groupBy("ask").agg(F.first("profile").alias("p")).select("ask", "p.*")
+    open_ = tenders.where(is_open("closes_at", now))
+    judged = triage.select("profile_id", F.col("tender_id").alias("id")).join(open_.select("id"), "id", "left_semi")
+    needs = (
         members.join(judged.groupBy("profile_id").agg(F.count("*").alias("n")), "profile_id", "left")
         .groupBy("ask")
-        .agg(F.max(F.coalesce("n", F.lit(0))).alias("spare"))
+        .agg((F.max(F.coalesce("n", F.lit(0))) + k).alias("need"))
     )
-    ranked = number_rows(_matches(tenders, distinct, now, language), ["ask"], _ranking(), "at")
-    best = ranked.join(spare, "ask").where(F.col("at") <= k + F.col("spare")).drop("at", "spare")
-    best = materialize(best, "best-of-asks")
+    asks = materialize(distinct.join(needs, "ask"), "asks-needs")
+    met = _matches(open_, asks, language)
+    most = asks.agg(F.max("need")).first()[0] or k
+    limited = top_per_key(met, ["ask"], _ranking(), most, "at") if most <= 1000 else number_rows(met, ["ask"], _ranking(), "at")
+    best = materialize(limited.where(F.col("at") <= F.col("need")).drop("at", "need"), "best-of-asks")
     left = members.select("profile_id", "ask").join(best, "ask").drop("ask").join(judged, ["profile_id", "id"], "left_anti")
     return top_per_key(left, ["profile_id"], _ranking(), k, "place").withColumnRenamed("id", "tender_id")
 
 
 def _ranking() -> list[Column]:
-    return [F.col("rank").desc(), F.col("closes_at").asc_nulls_last(), F.col("id").asc()]
+    return [F.col("rank").desc(), *_within()]
+
+
+def _within() -> list[Column]:
+    return [F.col("closes_at").asc_nulls_last(), F.col("id").asc()]
 
 
 def _asks(profiles: DataFrame) -> DataFrame:
@@ -71,39 +79,114 @@ def _asks(profiles: DataFrame) -> DataFrame:
     return listed.join(named, F.col("profile").eqNullSafe(F.col("same"))).select("profile_id", "ask", "profile")
 
 
-def _matches(tenders: DataFrame, profiles: DataFrame, now: Column, language: Language) -> DataFrame:
-    """(ask, id, closes_at, rank): open tenders that match an ask, with the weight of its words in them."""
-    open_ = tenders.where(is_open("closes_at", now))
-    posted = materialize(index_texts(open_, search_text(), ["id"], language), "postings")
-    keywords = keywords_of(profiles).where(F.trim("phrase") != "").distinct()
-    # A tender carries the weights of its own words, a profile its words: no further join ranks them.
-    weights = posted.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("lexeme", weight("tf").alias("w")))).alias("weights")
-    )
-    listed = open_.select("id", "state", "estimated_value", "closes_at").join(weights, "id")
-    words = (
-        analyze(keywords, "phrase", ["profile_id"], language)
-        .groupBy("profile_id")
-        .agg(F.collect_set("lexeme").alias("words"))
-    )
-    asks = (
-        profiles.select(F.col("id").alias("profile_id"), "states", "min_value", "max_value")
-        .join(words, "profile_id")
-        .join(keywords, "profile_id")
+def _matches(open_: DataFrame, asks: DataFrame, language: Language) -> DataFrame:
+    """(ask, id, closes_at, rank, need): open tenders that match an ask, all of its `need` best among them.
+
+    An ask first meets groups of tenders: of one kind, area (a state, or all) and range of values. Their sizes tell the rank that the best
+    must reach; only groups of that rank hand over tenders, and of a group whose values all fit only as many as are needed.
+    """
+    topics = materialize(asks.groupBy("keywords").agg(F.min("ask").alias("topic")), "topics")
+    of_topics = topics.select(F.col("topic").alias("id"), "keywords")
+    phrases = keywords_of(of_topics).where(F.trim("phrase") != "").distinct()
+    words = analyze(phrases, "phrase", ["profile_id"], language).groupBy("profile_id").agg(F.collect_set("lexeme").alias("words"))
+    tenders, kinds = _kinds(open_, phrases, language)
+    tenders = _placed(tenders, _breaks(asks))
+    group = ["kind", "area", "cell"]
+    groups = tenders.groupBy(*group).agg(
+        F.sum("one").alias("n"), F.min("estimated_value").alias("lo"), F.max("estimated_value").alias("hi")
     )
-    hits = match_phrase(posted, keywords, ["id"], language).join(listed, "id")
-    # Profiles with states meet only the tenders of those states; the others meet all.
-    local = asks.select("*", F.explode("states").alias("state")).drop("states")
-    anywhere = asks.where(F.size("states") == 0).drop("states")
-    met = hits.join(local, ["phrase", "state"]).unionByName(hits.join(anywhere, "phrase"))
     # Sums of word weights; dividing by the profile's word count would not change the order.
     nothing = F.lit(0).cast("long")
     score = F.aggregate("words", nothing, lambda total, x: total + F.coalesce(F.col("weights")[x], nothing))
-    return (
-        met.where(in_range_or_unknown("estimated_value", "min_value", "max_value"))
-        .select(F.col("profile_id").alias("ask"), "id", "closes_at", score.alias("rank"))
+    ranks = (
+        kinds.select("kind", F.explode("phrases").alias("phrase"))
+        .join(phrases, "phrase")
+        .select("profile_id", "kind")
         .distinct()
+        .join(words, "profile_id")
+        .join(kinds.select("kind", F.map_from_entries("weights").alias("weights")), "kind")
+        .select(F.col("profile_id").alias("topic"), "kind", score.alias("rank"))
+    )
+    area = F.when(F.size("states") == 0, F.array(F.lit(ANYWHERE))).otherwise(F.transform("states", _state))
+    wanted = (
+        asks.join(topics, "keywords")
+        .select("topic", "ask", "need", "min_value", "max_value", F.explode(area).alias("area"))
+    )
+    fits = lambda c: in_range_or_unknown(c, "min_value", "max_value")
+    offers = (
+        wanted.join(materialize(ranks, "ranks"), "topic")
+        .join(groups, ["kind", "area"])
+        .where(F.coalesce(F.col("hi") >= F.col("min_value"), F.lit(True)) & F.coalesce(F.col("lo") <= F.col("max_value"), F.lit(True)))
+        .select("ask", "need", "min_value", "max_value", *group, "rank", "n", (fits("lo") & fits("hi")).alias("whole"))
+    )
+    offers = materialize(offers, "offers")
+    sure = offers.where("whole").groupBy("ask", "need", "rank").agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("ask").orderBy(F.col("rank").desc()))
+    least = sure.withColumn("n", so_far).where(F.col("n") >= F.col("need")).groupBy("ask").agg(F.max("rank").alias("least"))
+    kept = offers.join(least, "ask", "left").where(F.col("least").isNull() | (F.col("rank") >= F.col("least")))
+    met = (
+        kept.drop("n", "least")
+        .join(tenders, group)
+        .where(fits("estimated_value") & (~F.col("whole") | (F.col("at") < F.col("need"))))
+        .select("ask", "id", "closes_at", "rank", "need", "one")
+    )
+    # A tender listed once meets an ask once.
+    return met.where("one = 1").drop("one").unionByName(met.where("one = 0").drop("one").distinct())
+
+
+ANYWHERE = ""
+
+
+def _state(state: Column) -> Column:
+    return F.concat(F.lit("="), state)
+
+
+def _kinds(open_: DataFrame, phrases: DataFrame, language: Language) -> tuple[DataFrame, DataFrame]:
+    """Tenders with their kind, and (kind, phrases, weights): tenders of a kind hold the same of the phrases and the words of phrases
+    equally often, so every ask ranks them alike."""
+    posted = materialize(index_texts(open_.where(F.col("id").isNotNull()), search_text(), ["id"], language), "postings")
+    hits = match_phrase(posted, phrases, ["id"], language).groupBy("id").agg(F.sort_array(F.collect_list("phrase")).alias("phrases"))
+    weights = (
+        posted.join(phrase_words(phrases, language).distinct(), "lexeme", "left_semi")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("lexeme", weight("tf").alias("w")))).alias("weights"))
     )
+    kind = F.unhex(F.sha2(F.to_json(F.struct("phrases", "weights")), 256))
+    known = materialize(hits.join(weights, "id").select("id", kind.alias("kind"), "phrases", "weights"), "kinds")
+    listed = open_.select("id", "state", "estimated_value", "closes_at").distinct()
+    times = listed.groupBy("id").agg(F.count("*").alias("times"))
+    # What is listed more than once, with different facts, counts for nothing where tenders are counted.
+    tenders = listed.join(times, "id").join(known.select("id", "kind"), "id")
+    tenders = tenders.withColumn("one", (F.col("times") == 1).cast("int")).drop("times")
+    kinds = known.groupBy("kind").agg(F.first("phrases").alias("phrases"), F.first("weights").alias("weights"))
+    return tenders, kinds
+
+
+BREAKS = 64  # ranges of values; with as many different bounds or fewer, all tenders of a range fit a profile or none does
+
+
+def _breaks(asks: DataFrame) -> tuple[list, list]:
+    """Lower and upper bounds at which values are cut into ranges: all different ones, or quantiles of them."""
+
+    def of(column: str) -> list:
+        bounds = asks.select(F.col(column).alias("b")).where("b IS NOT NULL").distinct()
+        found = [r.b for r in bounds.limit(BREAKS + 1).collect()]
+        if len(found) > BREAKS:
+            steps = [i / BREAKS for i in range(1, BREAKS)]
+            found = bounds.agg(F.percentile_approx("b", steps, 10_000)).first()[0]
+        return sorted(set(found))
+
+    return of("min_value"), of("max_value")
+
+
+def _placed(tenders: DataFrame, breaks: tuple[list, list]) -> DataFrame:
+    """Each tender once for its state and once for anywhere, with the range of its value and `at`, how many of its group come before it."""
+    lower, upper = ([F.lit(b) for b in bounds] for bounds in breaks)
+    passed = [(F.col("estimated_value") >= b).cast("int") for b in lower] + [(F.col("estimated_value") > b).cast("int") for b in upper]
+    cell = F.when(F.col("estimated_value").isNotNull(), sum(passed, F.lit(0))).otherwise(-1)
+    areas = F.explode(F.array(F.lit(ANYWHERE), _state(F.col("state")))).alias("area")
+    spread = tenders.withColumn("cell", cell).select("*", areas).drop("state").where("area IS NOT NULL")
+    return materialize(running_total(spread, ["kind", "area", "cell"], _within(), F.col("one"), "at"), "placed")
 
 
 def batch_by_rank(ranked: DataFrame, place: str = "place", size: int = BATCH_SIZE) -> DataFrame:

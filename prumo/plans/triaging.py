@@ -47,9 +47,12 @@ candidates AS (
 BASE = (A.TENDERS, A.PROFILES, A.TRIAGE)
 
 
+def stored_tenders(t: Tables) -> DataFrame:
+    return t.store("tenders", lambda: A.tenders(t))
+
+
 def candidate_rows(t: Tables) -> DataFrame:
-    tenders = t.store("tenders", lambda: A.tenders(t))
-    return Q.candidates(tenders, A.profiles(t), t.store("triage", lambda: A.triage(t)), F.lit(A.NOW).cast("timestamp"))
+    return Q.candidates(stored_tenders(t), A.profiles(t), t.store("triage", lambda: A.triage(t)), F.lit(A.NOW).cast("timestamp"))
 
 
 @query(with_sql(*BASE, CANDIDATES) + "SELECT profile_id, tender_id, rank, place FROM candidates")
@@ -79,7 +82,7 @@ prompts AS (
 
 @query(with_sql(*BASE, CANDIDATES, BATCHES, PROMPTS) + "SELECT profile_id, batch, prompt FROM prompts")
 def triage_prompts(t: Tables) -> DataFrame:
-    return Q.triage_prompts(batches(t), A.tenders(t), A.profiles(t)).withColumn("batch", F.col("batch").cast("long"))
+    return Q.triage_prompts(batches(t), stored_tenders(t), A.profiles(t)).withColumn("batch", F.col("batch").cast("long"))
 
 
 def judge(prompt: str) -> list[tuple[int, int, str]]:
@@ -104,7 +107,7 @@ judged AS (
 
 def scored(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = batches(t)
-    replies = materialize(Q.score_batches(Q.triage_prompts(rows, A.tenders(t), A.profiles(t)), judge, "regra"), "replies")
+    replies = materialize(Q.score_batches(Q.triage_prompts(rows, stored_tenders(t), A.profiles(t)), judge, "regra"), "replies")
     return rows, replies, Q.apply_scores(rows, replies)
 
 
@@ -156,7 +159,7 @@ def triage_summary(t: Tables) -> DataFrame:
 )
 def appended_triage(t: Tables) -> DataFrame:
     """Earlier judgements with the new ones added; what was judged before is not judged again."""
-    before = A.triage(t).withColumn("score", F.col("score").cast("int"))
+    before = t.store("triage", lambda: A.triage(t)).withColumn("score", F.col("score").cast("int"))
     _, _, judged = scored(t)
     again = before.limit(0).unionByName(judged).unionByName(before.withColumn("model", F.lit("outra vez")))
     return Q.append_triage(before, again).select("profile_id", "tender_id", F.col("score").cast("long").alias("score"), "model")
