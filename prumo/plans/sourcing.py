@@ -21,6 +21,7 @@ from prumo.sources import sinks as K
 from prumo.streaming import sweep as W
 
 PER_PAGE = 50
+FILES_PER_TASK = 100
 
 
 def portal_records(t: Tables) -> DataFrame:
@@ -143,8 +144,11 @@ def scanned_binaries(t: Tables) -> DataFrame:
     of the small ones are read, those of the large ones are not."""
     path = fresh_path(t.spark, "binaries")
     file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
-    rows = t.documents.select("doc_id", "text", file.alias("file")).repartition("file").sortWithinPartitions("file", "doc_id")
-    rows.drop("doc_id").write.partitionBy("file").text(path)
+    rows = t.documents.select("doc_id", "text", file.alias("file"))
+    # Files cost more than their bytes, so tasks are counted by files; each moves its own into place, not the driver one by one.
+    tasks = max(1, -(-rows.select("file").distinct().count() // FILES_PER_TASK))
+    rows = rows.repartition(tasks, "file").sortWithinPartitions("file", "doc_id").drop("doc_id")
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(path)
     found = X.scan_binaries(t.spark, path, 100_000, glob="*.txt")
     return found.select(
         F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.col("size_bytes").alias("bytes"),
