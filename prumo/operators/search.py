@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,15 +63,23 @@ def stemmer(language: Language):
     return stems
 
 
-def lexemes(text: Column | str, language: Language = SIMPLE) -> Column:
-    """Array of lexemes in text order; stopwords keep their place as null."""
-    tokens = F.regexp_extract_all(F.lower(as_col(text)), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(as_col(text)), F.lit(TOKEN), F.lit(0))
+
+
+def kept(words: Column, language: Language = SIMPLE) -> Column:
+    """An array of tokens as lexemes; stopwords keep their place as null."""
     if language.stems:
-        return stemmer(language)(tokens)
+        return stemmer(language)(words)
     if language.stopwords:
-        words = F.array(*[F.lit(w) for w in sorted(language.stopwords)])
-        return F.transform(tokens, lambda w: F.when(~F.array_contains(words, w), w))
-    return tokens
+        stop = F.array(*[F.lit(w) for w in sorted(language.stopwords)])
+        return F.transform(words, lambda w: F.when(~F.array_contains(stop, w), w))
+    return words
+
+
+def lexemes(text: Column | str, language: Language = SIMPLE) -> Column:
+    """Array of lexemes in text order; stopwords keep their place as null."""
+    return kept(tokens(text), language)
 
 
 def analyze(df: DataFrame, text: Column | str, keys: list[str], language: Language = SIMPLE) -> DataFrame:
@@ -88,18 +99,57 @@ def postings(terms: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+POSTED = 1000  # texts whose words a task sorts at a time
+
+
+_POSTING = T.StructType(
+    [T.StructField("lexeme", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
+)
+
+
+@F.arrow_udf(T.ArrayType(_POSTING))
+def posted_of(words: pa.Array, sizes: pa.Array) -> pa.Array:
+    """The postings of each row's lexemes (null ones aside); `sizes` says how many of them each text of the row has."""
+
+    def post(words: pa.Array, sizes: pa.Array) -> pa.Array:
+        flat = words.flatten().dictionary_encode()
+        each = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each) + 1
+        row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        said = flat.is_valid().to_numpy(zero_copy_only=False)
+        code = pc.fill_null(flat.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)[said]
+        # One number for (row, lexeme, position): sorted, it has the positions of a lexeme of a row side by side.
+        many, far = max(1, len(flat.dictionary)), int(place.max(initial=0)) + 1
+        order = np.sort((row[said] * many + code) * far + place[said])
+        pair = order // far
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        ends = np.append(first, len(pair)).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array((order % far).astype(np.int32)))
+        own = pair[first]
+        of_row = np.searchsorted(own // many, np.arange(len(words) + 1)).astype(np.int32)
+        columns = [flat.dictionary.take(pa.array(own % many)), pa.array(np.diff(ends)), positions]
+        return pa.ListArray.from_arrays(pa.array(of_row), pa.StructArray.from_arrays(columns, ["lexeme", "tf", "positions"]))
+
+    parts = [post(words.slice(at, POSTED), sizes.slice(at, POSTED)) for at in range(0, len(words), POSTED)]
+    return pa.concat_arrays(parts) if parts else post(words, sizes)
+
+
 def index_texts(
     df: DataFrame, text: Column | str, keys: list[str], language: Language = SIMPLE, words: DataFrame | None = None
 ) -> DataFrame:
-    """Postings of a text column. The texts are shuffled by their key once; their words, many
-    times as large, then stay where they are.
+    """Postings of a text column. The texts are shuffled by their key once; those of one key are then posted together, within
+    their row: their words, many times as large, are neither shuffled nor sorted as rows.
 
     With `words(lexeme)`, for a lookup without a stored index, only those words are posted: no text is shuffled, and
     of the words only the wanted ones.
     """
     texts = df.select(*keys, as_col(text).alias("_text"))
     if words is None:
-        return postings(analyze(texts.repartition(*keys), "_text", keys, language), keys)
+        whole = texts.repartition(*keys).groupBy(*keys).agg(F.collect_list("_text").alias("_texts"))
+        split = whole.select(*keys, F.transform("_texts", lambda t: tokens(t)).alias("_tokens"))
+        sizes = F.transform("_tokens", lambda w: F.size(w))
+        posted = posted_of.asNondeterministic()(kept(F.flatten("_tokens"), language), sizes)
+        return split.select(*keys, posted.alias("_posted")).select(*keys, F.inline("_posted"))
     terms = analyze(texts, "_text", keys, language)
     return postings(terms.join(words.select("lexeme").distinct(), "lexeme", "left_semi"), keys)
 
@@ -111,9 +161,8 @@ def phrase_words(phrases: DataFrame, language: Language = SIMPLE) -> DataFrame:
 
 def frequencies(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lexeme, texts): in how many texts the wanted lexemes occur."""
-    return posted.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(
-        F.count("*").alias("texts")
-    )
+    counts = posted.groupBy("lexeme").agg(F.count("*").alias("texts"))  # added up before anything is shuffled
+    return counts.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
 
 
 def match_phrase(

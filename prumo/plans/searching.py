@@ -29,16 +29,20 @@ def page_postings(t: Tables) -> DataFrame:
     return S.index_texts(A.global_pages(t), "text", PAGE_KEY)
 
 
+BUCKET_BYTES = 32 << 20  # of documents for each bucket: a task sorts the postings of a bucket in memory
+
 # Indexes of this session: the table of each state of the given documents.
 _indexes: dict[tuple, str] = {}
 
 
 def page_index(t: Tables) -> str:
     """The table of all pages' postings, written when it is first asked for and again when the documents have changed."""
-    state = (t.spark.sparkContext.applicationId, *files_of(t.spark, f"{t.folder}/documents.parquet"))
+    files = files_of(t.spark, f"{t.folder}/documents.parquet")
+    state = (t.spark.sparkContext.applicationId, *files)
     if state not in _indexes:
         name = f"page_postings_{uuid4().hex}"
-        I.write_index(page_postings(t), name, PAGE_KEY, path=f"{shared_folder(t.spark)}/{name}")
+        buckets = max(I.BUCKETS, sum(length for _, length, _ in files) // BUCKET_BYTES)
+        I.write_index(page_postings(t), name, PAGE_KEY, buckets=buckets, path=f"{shared_folder(t.spark)}/{name}")
         _indexes[state] = name
     return _indexes[state]
 

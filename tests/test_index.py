@@ -49,6 +49,19 @@ def test_lookup_and_versions(spark, name):
     assert [tuple(r) for r in found.collect()] == [(17, "casa número 17")]
 
 
+@pytest.mark.parametrize("language", [S.SIMPLE, S.PORTUGUESE, S.Language("short", frozenset({"de", "casa"}))], ids=lambda x: x.name)
+def test_postings_within_the_row(spark, language):
+    """Beside the grouping of single words, with repeated and null keys, null and empty texts; words are not rows before they are posted."""
+    texts = [(i % 40 or None, None if i % 11 == 0 else "" if i % 7 == 0 else f"A casa de {i}, a casa é de casas {i % 3}") for i in range(120)]
+    df = spark.createDataFrame(texts, "doc int, text string")
+    got = S.index_texts(df, "text", KEY, language)
+    shown = lambda rows: sorted(((r.doc or 0, r.lexeme, r.tf, tuple(r.positions)) for r in rows))
+    assert shown(got.collect()) == shown(S.postings(S.analyze(df, "text", KEY, language), KEY).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert S.index_texts(df.limit(0), "text", KEY, language).count() == 0
+
+
 def test_postings_are_not_shuffled(spark, name):
     write_index(posted_of(spark, [(i, f"de casa {i}") for i in range(300)]), name, KEY, buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # also where the words are many
