@@ -108,7 +108,8 @@ def merge_batch(arrived: DataFrame, number: int, state: str, buckets: int = BUCK
             # One file, so that the counts of a batch are there whole or not at all: they say that its rows are stored.
             _replace(_counted(arrived, merged, number).coalesce(1), counts_path, "batch")
     stored = spark.read.schema(MERGED).parquet(merged_path)
-    _replace(stored.drop("inserted").repartition("bucket", "id"), f"{state}/tenders", "bucket")
+    # The stored rows were dealt out by the merge: they are put in their buckets where they are read.
+    _replace(stored.drop("inserted"), f"{state}/tenders", "bucket")
 
 
 def sweep(
