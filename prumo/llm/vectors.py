@@ -79,12 +79,13 @@ def unpack(ids: bytes, rows: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray
 
 
 def tiles(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each query block (q_…) beside each block of rows: the query blocks are sent to every block's number."""
-    numbers = blocks.agg(F.max("block")).first()[0]
-    sent = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers or 0).cast("long")))
-    )
-    return sent.join(blocks, "block")
+    """Each query block (q_…) beside each block of rows, one query block after the other.
+
+    A task takes some query blocks and some blocks of rows, which it reads from their tables: neither the driver nor a shuffle
+    holds a tile. The hint keeps Spark from broadcasting a table that is small only as it is stored.
+    """
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    return asked.hint("shuffle_replicate_nl").crossJoin(blocks)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

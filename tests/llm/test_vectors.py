@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prumo.llm import blockjoin, mtree
 from prumo.llm.queries import QUERIES
-from prumo.llm.vectors import usable
+from prumo.llm.vectors import BLOCK, tiles, usable
 
 NAN, INF = float("nan"), float("inf")
 ODD = [(900, None), (901, [1.0, None]), (902, [NAN, 1.0]), (903, [INF, 1.0]), (None, [1.0, 1.0]), (904, [])]
@@ -125,3 +125,12 @@ def test_empty_tables(spark, search):
 def test_queries_return_twenty_each(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 25 * 20 and {r["rank"] for r in rows} == set(range(1, 21))
+
+
+def test_tiles_are_read_not_broadcast(spark):
+    """Query blocks times blocks of rows are more than the driver holds: no broadcast, no copy of a query block per block."""
+    queries, blocks = (spark.createDataFrame([(n, b"i", b"r", b"m") for n in range(k)], BLOCK) for k in (2, 3))
+    paired = tiles(queries, blocks)
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert sorted((r.q_block, r.block) for r in paired.collect()) == [(q, b) for q in range(2) for b in range(3)]
