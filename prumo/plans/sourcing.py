@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +26,7 @@ from prumo.sources import sinks as K
 from prumo.streaming import sweep as W
 
 PER_PAGE = 50
-FILES_PER_TASK = 100
+FILES_PER_TASK = 200
 
 
 def portal_records(t: Tables) -> DataFrame:
@@ -134,6 +139,42 @@ def scanned_document_lists(t: Tables) -> DataFrame:
     return parsed.select("tender_id", F.col("seq").cast("long").alias("seq"), "title", "url")
 
 
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+UNSAFE = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """Texts of `rows(file, text)`, whose files are whole and in one piece within their tasks, as lines of `file=….txt` in a folder
+    per task. Hadoop's local file system starts two processes for every file that it makes; here a file costs its bytes."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        system, root = pafs.FileSystem.from_uri(path)
+        folder = f"{root}/part-{task.partitionId():05d}"
+        system.create_dir(folder)
+        # A file under way has another name, as an attempt that ends early may leave it.
+        under_way = f"{folder}/{task.taskAttemptId()}.part"
+        file, out, made = None, None, 0
+
+        def end() -> None:
+            out.close()
+            system.move(under_way, f"{folder}/file={file}.txt")
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = UNSAFE.sub(lambda c: f"%{ord(c[0]):02X}", name) if name else NO_NAME
+                if name != file:
+                    if out:
+                        end()
+                    file, out, made = name, system.open_output_stream(under_way), made + 1
+                out.write((text or "").encode() + b"\n")
+        if out:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["files"])
+
+    rows.select("file", "text").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 @query(
     """SELECT file, bytes, CASE WHEN bytes > 100000 THEN 'arquivo grande: 0 MB' ELSE '' END AS error, CASE WHEN bytes > 100000 THEN '' ELSE digest END AS digest
        FROM (SELECT source || '-' || doc_id // 20 AS file, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest
@@ -145,13 +186,12 @@ def scanned_binaries(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "binaries")
     file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
     rows = t.documents.select("doc_id", "text", file.alias("file"))
-    # Files cost more than their bytes, so tasks are counted by files; each moves its own into place, not the driver one by one.
+    # Files cost more than their bytes, so tasks are counted by files, of which Spark would give a reading task only 32.
     tasks = max(1, -(-rows.select("file").distinct().count() // FILES_PER_TASK))
-    rows = rows.repartition(tasks, "file").sortWithinPartitions("file", "doc_id").drop("doc_id")
-    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(path)
-    found = X.scan_binaries(t.spark, path, 100_000, glob="*.txt")
+    write_texts(rows.repartition(tasks, "file").sortWithinPartitions("file", "doc_id"), path)
+    found = X.scan_binaries(t.spark, path, 100_000, glob="*.txt").coalesce(tasks)
     return found.select(
-        F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.col("size_bytes").alias("bytes"),
+        F.regexp_extract("path", r"file=([^/]+)\.txt$", 1).alias("file"), F.col("size_bytes").alias("bytes"),
         F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("digest"),
     )
 
