@@ -269,11 +269,15 @@ def score_batches(
 
 def apply_scores(batches: DataFrame, replies: DataFrame, threshold: int = RELEVANT_SCORE) -> DataFrame:
     """Judgements of the tenders of each batch: the last reply to a number counts, numbers
-    outside the batch are ignored, a skipped number leaves its tender unjudged."""
+    outside the batch are ignored, a skipped number leaves its tender unjudged.
+
+    Stored replies are small for the rows they hold (one model, few reasons, numbers that repeat), so by their size
+    alone Spark would gather millions of them on the driver to broadcast them.
+    """
     last = keep_last(
         replies.select("profile_id", "batch", "n", "seq", "score", "reason", "model"), ["profile_id", "batch", "n"], ["seq"]
     )
-    return batches.join(last, ["profile_id", "batch", "n"]).select(
+    return batches.join(last.hint("merge"), ["profile_id", "batch", "n"]).select(
         "profile_id",
         "tender_id",
         "score",
@@ -284,8 +288,10 @@ def apply_scores(batches: DataFrame, replies: DataFrame, threshold: int = RELEVA
 
 
 def append_triage(triage: DataFrame, judged: DataFrame) -> DataFrame:
-    """Earlier judgements stay; only pairs never judged are added."""
-    fresh = judged.join(triage.select("profile_id", "tender_id"), ["profile_id", "tender_id"], "left_anti")
+    """Earlier judgements stay; only pairs never judged are added. The pairs are not broadcast: stored, they are small for
+    their rows."""
+    known = triage.select("profile_id", "tender_id").hint("merge")
+    fresh = judged.join(known, ["profile_id", "tender_id"], "left_anti")
     return triage.unionByName(fresh)
 
 
